@@ -46,7 +46,7 @@ def test_propagation_equals_plain_page_rank(spark):
 
 def test_verdicts(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string, host string")
-    got = {r.page_id: r for r in uf.judge(pages, RULES, least=1.0).collect()}
+    got = {r.page_id: r for r in uf.judge(pages, RULES, least=0.3).collect()}
     blocked = {3, 4, 5, 6}
     assert {i: r.verdict for i, r in got.items()} == {i: "block" if i in blocked else "allow" for i in range(1, 11)}
     assert (got[3].host, got[3].path, got[3].rule, got[3].settled_by) == ("bad.example", "/x", "bad.example/", "rule")
