@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from arenaflow.plans import leaderboards  # noqa: F401
+from arenaflow.plans import leaderboards, relational, telemetry  # noqa: F401
 from arenaflow.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
