@@ -49,7 +49,7 @@ def clean_host(hostname) -> Column:
 
 
 def port(hostname) -> Column:
-    return F.regexp_extract(c(hostname), r"^(.*?):(\d+)(?:\s|$)", 2).try_cast("int") if hasattr(Column, "try_cast") else F.expr("null")
+    return F.regexp_extract(c(hostname), r"^(.*?):(\d+)(?:\s|$)", 2).try_cast("int")
 
 
 def basename(url) -> Column:

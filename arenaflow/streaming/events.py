@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from arenaflow.operators import rating
-from arenaflow.operators.upserts import insert_ignore
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -49,7 +48,7 @@ def new_keys(path: str, keys: list[str]):
                 raise
             own.write.parquet(path)
             return
-        insert_ignore(old.limit(0), own.join(old.select(*keys), keys, "left_anti"), keys).write.mode("append").parquet(path)
+        own.join(old.select(*keys), keys, "left_anti").select(*own.columns).write.mode("append").parquet(path)
 
     return write
 

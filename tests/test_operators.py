@@ -22,6 +22,7 @@ def test_names(spark):
     for raw in ("Cronus", "CRONUS", "[cronus]", "au.cronus", "Ãòïîõó", " cronus. "):
         assert one(spark, N.normalised(F.lit(raw))) == "cronus", raw
     assert one(spark, N.info_string(F.lit("\\map\\dm4\\mode\\1on1"))) == {"map": "dm4", "mode": "1on1"}
+    assert (one(spark, N.port(F.lit("h.example:27500 x"))), one(spark, N.port(F.lit("h.example")))) == (27500, None)
     assert one(spark, N.clean_host(F.lit("Bob@Host.Example:27500 extra"))) == "host.example:27500"
 
 
