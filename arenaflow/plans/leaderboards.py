@@ -222,7 +222,7 @@ def first_to_two(t: Tables):
 
 
 @query("""
-WITH own AS (SELECT o_custkey AS c, o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_custkey < 60 AND o_totalprice > 200000),
+WITH own AS (SELECT o_custkey AS c, o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_totalprice > 200000),
 pool AS (SELECT c, o_orderkey AS k, o_totalprice AS v FROM (SELECT DISTINCT c FROM own), (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5)),
 b AS (SELECT *, 0 AS padded FROM own UNION ALL SELECT *, 1 FROM pool)
 SELECT c AS custkey, k AS orderkey, v AS price, padded, CAST(row_number() OVER (PARTITION BY c ORDER BY padded, v DESC, k) AS INTEGER) AS place FROM b QUALIFY place <= 5
@@ -230,7 +230,7 @@ SELECT c AS custkey, k AS orderkey, v AS price, padded, CAST(row_number() OVER (
 def topn_pad(t: Tables):
     """Five best of each participant, filled up from the best of all."""
     rows = t.orders.select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), F.col("o_totalprice").alias("price"))
-    own = rows.filter("custkey < 60 and price > 200000")
+    own = rows.filter("price > 200000")
     best = rows.orderBy(F.desc("price"), "orderkey").limit(5).select("orderkey", "price")
     pool = own.select("custkey").distinct().join(F.broadcast(best)).select("custkey", "orderkey", "price")  # five rows
     return windows.padded_top(own, pool, "custkey", [F.desc("price"), F.col("orderkey")], 5)
