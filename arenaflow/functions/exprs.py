@@ -114,6 +114,18 @@ def money_line(p) -> Column:
     return (F.floor(raw / 5 + 0.5) * 5).cast("long")
 
 
+def market_line(p) -> Column:
+    """American odds with the house's margin on both sides (1.07 and 0.90), to the nearest 5; the probability is held within 0.15 and 0.85."""
+    w = F.greatest(F.lit(0.15), F.least(F.lit(0.85), c(p)))
+    raw = F.when(w >= 0.5, -100 * w / (1 - w) * 1.07).otherwise(100 * (1 - w) / w * 0.90)
+    return (F.bround(raw / 5) * 5).cast("long")
+
+
+def rounded(x, digits: int) -> Column:
+    """Rounds up from the half and from what a sum in another order would make of it."""
+    return F.round(c(x) + 1e-9, digits)
+
+
 def expected_maps(p) -> Column:
     """Maps of a best of three in which each is won with probability p."""
     return 2 + 2 * c(p) * (1 - c(p))

@@ -115,7 +115,7 @@ def pooled_corr(t: Tables):
 @query("""
 WITH w AS (SELECT user_id, CAST(ts AS DATE) AS d, avg(value) AS v FROM events GROUP BY 1, 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM w)
-SELECT user_id, max(n) AS days, round(avg(v) FILTER (i < n // 3), 4) AS first_third, round(avg(v) FILTER (i >= n - n // 3), 4) AS last_third, round(arg_max(v, i) - arg_min(v, i), 4) AS change FROM n GROUP BY 1
+SELECT user_id, max(n) AS days, round(avg(v) FILTER (i < n // 3) + 1e-9, 4) AS first_third, round(avg(v) FILTER (i >= n - n // 3) + 1e-9, 4) AS last_third, round(arg_max(v, i) - arg_min(v, i) + 1e-9, 4) AS change FROM n GROUP BY 1
 """)
 def thirds_trend(t: Tables):
     """First against last third of a series, and first against last value."""
@@ -124,8 +124,8 @@ def thirds_trend(t: Tables):
     s = s.withColumns({"i": F.row_number().over(own.orderBy("d")) - 1, "n": F.count("*").over(own)})
     third = F.floor(F.col("n") / 3)
     return s.groupBy("user_id").agg(
-        F.max("n").alias("days"), F.round(F.avg(F.when(F.col("i") < third, F.col("v"))), 4).alias("first_third"),
-        F.round(F.avg(F.when(F.col("i") >= F.col("n") - third, F.col("v"))), 4).alias("last_third"), F.round(F.max_by("v", "i") - F.min_by("v", "i"), 4).alias("change"))
+        F.max("n").alias("days"), X.rounded(F.avg(F.when(F.col("i") < third, F.col("v"))), 4).alias("first_third"),
+        X.rounded(F.avg(F.when(F.col("i") >= F.col("n") - third, F.col("v"))), 4).alias("last_third"), X.rounded(F.max_by("v", "i") - F.min_by("v", "i"), 4).alias("change"))
 
 
 @query("""

@@ -20,7 +20,7 @@ def matches(t: Tables):
 
 @query("""
 SELECT l_suppkey AS suppkey, CASE WHEN grouping(o_orderstatus) = 0 THEN 'mode' WHEN grouping(o_orderpriority) = 0 THEN 'arena' WHEN grouping(y) = 0 THEN 'year' ELSE 'career' END AS slice,
- coalesce(o_orderstatus, o_orderpriority, y, '') AS member, count(*) AS n, round(avg(l_quantity), 4) AS quantity, round(sum(l_extendedprice) / sum(l_quantity), 4) AS price, count(*) FILTER (l_quantity > 25) AS wins
+ coalesce(o_orderstatus, o_orderpriority, y, '') AS member, count(*) AS n, round(avg(l_quantity) + 1e-9, 4) AS quantity, round(sum(l_extendedprice) / sum(l_quantity) + 1e-9, 4) AS price, count(*) FILTER (l_quantity > 25) AS wins
 FROM (SELECT *, CAST(year(o_orderdate) AS VARCHAR) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY GROUPING SETS ((l_suppkey), (l_suppkey, o_orderstatus), (l_suppkey, o_orderpriority), (l_suppkey, y))
 """)
 def player_profile(t: Tables):
@@ -34,7 +34,7 @@ def player_profile(t: Tables):
     for s in reversed(slices):
         kind = F.when(F.grouping(s) == 0, s).otherwise(kind)
     return g.agg(
-        kind.alias("slice"), F.count("*").alias("n"), F.round(F.avg("l_quantity"), 4).alias("quantity"), F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("price"),
+        kind.alias("slice"), F.count("*").alias("n"), X.rounded(F.avg("l_quantity"), 4).alias("quantity"), X.rounded(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("price"),
         F.count_if(F.col("l_quantity") > 25).alias("wins")).select("suppkey", "slice", F.coalesce(*slices, F.lit("")).alias("member"), "n", "quantity", "price", "wins")
 
 
