@@ -136,6 +136,16 @@ def hash_id(key) -> Column:
     return -F.conv(F.substring(F.sha2(c(key), 256), 1, 15), 16, 10).cast("long")
 
 
+def evening(ts) -> Column:
+    """The day to which an evening belongs: what happens before six counts for the day before."""
+    return F.to_date(c(ts) - F.expr("interval 6 hours"))
+
+
+def content_hash(*fields) -> Column:
+    """SHA-256 of the fields as JSON: changes when any of them does."""
+    return F.sha2(F.to_json(F.struct(*fields)), 256)
+
+
 def band_score(x, low: float, high: float) -> Column:
     """0 to 99: full within [low, high], linear to 0 at twice the distance."""
     width = high - low

@@ -35,6 +35,16 @@ def normalised(x) -> Column:
     return s
 
 
+def unescaped(x) -> Column:
+    r"""Plain text of a stored name: a backslash and a digit mark a character of the game's set, ``\xNN`` an unknown byte. Marked brackets
+    and unknown bytes go, marked digits and letters stay, a doubled backslash is one."""
+    mark = "\ue000"  # stands for a literal backslash meanwhile
+    s = F.regexp_replace(c(x), r"(?:\\5)?\\\\", mark)
+    s = F.regexp_replace(s, r"\\x[0-9A-Fa-f]{2}|\\[13].?", "")
+    s = F.regexp_replace(s, r"\\[24](?:([0-9])|.?)", "$1")
+    return F.replace(F.regexp_replace(s, r"\\5(.?)", "$1"), F.lit(mark), F.lit("\\"))
+
+
 def host(url) -> Column:
     return F.lower(F.regexp_extract(c(url), r"^[^:]+://([^/?#:]*)", 1))
 

@@ -38,6 +38,13 @@ def nearest_in_set(points: DataFrame, centres: DataFrame, id_cols: list[str], di
     return points.join(F.broadcast(centres)).groupBy(*id_cols).agg(F.min_by(label, F.struct(distance, label)).alias(label), F.min(distance).alias("distance"))
 
 
+def zipped(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """Row i of each key's sequence beside row i of the other's, numbered from 1; the shorter one ends the zip. Columns of ``order`` are dropped."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    a, b = (side.withColumn(name, place).drop(*order) for side in (left, right))
+    return a.join(b, [*keys, name])
+
+
 def first_match(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order."""
     return rows.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__r = 1").drop("__r")

@@ -46,6 +46,12 @@ def running_sum(rows: DataFrame, key: str, ties: list[str], add: Column, name: s
     return cut.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__add", "__part", "__own", "__before")
 
 
+def opening_runs(rows: DataFrame, keys: list[str], order: list[str], died: str, measures: list[Column]) -> DataFrame:
+    """keys, steps and measures of each key's rows before the first for which ``died`` holds; keys that begin with it have no row."""
+    deaths = F.count_if(F.coalesce(F.col(died), F.lit(False))).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("__d", deaths).filter("__d = 0").groupBy(*keys).agg(F.count("*").alias("steps"), *measures)
+
+
 def padded_top(own: DataFrame, pool: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """The best n rows of each key, filled up from the pool where its own are fewer."""
     both = own.withColumn("padded", F.lit(0)).unionByName(pool.withColumn("padded", F.lit(1)))
