@@ -3,8 +3,9 @@
 A document is its sequence of lower-case words. Its runs of five words are labelled with their occurrence number; each of SKETCHES hash
 functions samples the PICKED smallest labelled runs and keeps them in text order, so that equal sketches mean equal runs in equal
 order (Order MinHash, sensitive to edit similarity). Documents that share a sketch are compared with the smallest and the
-largest id of the bucket (a star, linear in the bucket's size). The candidate with which a document shares most sketches is verified
-first; the others only where the classes found so far don't connect them already. Two documents are linked if their word
+largest id of the bucket first (a star, linear in the bucket's size). The candidate with which a document shares most sketches is verified
+first; the others only where the classes found so far don't connect them already. Then every pair that shares a sketch and is still in
+different classes is compared, so that no partner is left out. Two documents are linked if their word
 edit similarity, 1 - edits / longer length, is at least 0.8; the alignment fills only the diagonals that the allowed edits reach.
 Classes are the connected components of the links, and exact copies (equal word sequences) share a class by their digest before any search.
 
@@ -12,7 +13,9 @@ Recall: of simulated pairs (60 to 400 words) whose scattered edits touch 10 % or
 the least similarity that counts, 92 % did (48 sketches: 78 %). Edits that stand together count less. tests/llm compares it with brute force.
 
 Scale: a text is read once for the sketches and once more for candidates; sketches are hashes of 8 bytes; buckets are reduced by
-partial sums and skew joins, never collected; a third of all rows in one bucket gives one row each.
+partial sums and skew joins, never collected; a third of all rows in one bucket gives one row each. What the stars leave open is
+linear in a bucket's largest class, but texts that share a sketch and resemble each other too little to be linked all meet: that part
+grows with the square of their number, in blocks of at most about BLOCK by BLOCK pairs a key of the join.
 
 Cases: null texts and texts without words are classes of their own; texts under five words are one run; an id that repeats with
 different texts links their classes (rows of it without words stay apart); repeated rows each give a row; other columns are ignored.
@@ -25,6 +28,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arenaflow.llm.common import chunks, hashed, text_or_empty, written
@@ -33,6 +37,12 @@ RUN, SKETCHES, PICKED, SIMILARITY, SEED = 5, 80, 2, 0.8, 5
 SKETCHED = "digest string, words int, profile binary, sketches array<long>"
 #: Classes of words in a document's profile, and how many ids may be broadcast (16 bytes each).
 CLASSES, SMALL = 64, 1_000_000
+#: Texts up to so many words are aligned with bits of integers: faster there where the edits are many.
+SHORT = 600
+#: Words whose hashes a batch of pairs keeps.
+KEPT = 4_000_000
+#: Members of a bucket in one block when all its pairs are made; pairs of a text that the first round of verifying takes (then GROWTH times as many).
+BLOCK, FIRST_ROUND, GROWTH = 256, 8, 8
 
 
 def words_of(text: str) -> list[str]:
@@ -109,6 +119,28 @@ def may_be_similar(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(longer - np.minimum(a, b).sum(axis=1) <= (1 - SIMILARITY) * longer + 1e-9)
 
 
+def edits_by_bits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Edit distance if it is at most ``most``, else None: a column of the full table in two integers (Myers, Hyyro)."""
+    n, rest, at = len(a), len(b), {}
+    if not n:
+        return rest if rest <= most else None
+    for i, w in enumerate(a.tolist()):
+        at[w] = at.get(w, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, edits = full, 0, n
+    for w in b.tolist():
+        equal = at.get(w, 0)
+        v, h = equal | down, (((equal & up) + up) ^ up) | equal
+        more, less = down | (full & ~(h | up)), up & h
+        edits += 1 if more & top else -1 if less & top else 0
+        rest -= 1
+        if edits - rest > most:
+            return None
+        more = (more << 1 | 1) & full
+        up, down = (less << 1 & full) | (full & ~(v | more)), more & v
+    return edits if edits <= most else None
+
+
 def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance of two sequences if it is at most ``most``, else None. The band holds the diagonals within ``most``; for each
     number of edits it keeps the furthest place reached on every diagonal."""
@@ -118,6 +150,8 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     ca, cb = (dict(zip(*np.unique(x, return_counts=True))) for x in (a, b))
     if max(n, m) - sum(min(c, cb.get(w, 0)) for w, c in ca.items()) > most:
         return None
+    if max(n, m) <= SHORT:
+        return edits_by_bits(a, b, most)
     width = 2 * most + 3
     diag = np.arange(width) - most - 1  # place in b minus place in a
     far = np.full(width, -(10**9))
@@ -170,7 +204,27 @@ def similarity_of(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> fl
 
 
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([similarity_of(hashed(words_of(x)), hashed(words_of(y))) for x, y in zip(left, right)], dtype=float)
+    """Of each pair; a text's word hashes and their counts are kept while the pairs of a batch repeat it (up to KEPT words)."""
+    known, size, out = {}, 0, []
+
+    def of(text: str):
+        nonlocal size
+        if text not in known:
+            if size > KEPT:
+                known.clear()
+                size = 0
+            words = hashed(words_of(text))
+            known[text] = (words, *np.unique(words, return_counts=True))
+            size += len(words)
+        return known[text]
+
+    for x, y in zip(left, right):
+        (a, ua, na), (b, ub, nb) = of(x), of(y)
+        longer = max(len(a), len(b))
+        _, i, j = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+        possible = longer - np.minimum(na[i], nb[j]).sum() <= int((1 - SIMILARITY) * longer + 1e-9)
+        out.append(similarity_of(a, b) if possible else 0.0)
+    return pd.Series(out, dtype=float)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -194,23 +248,80 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
-def candidates(unique: DataFrame) -> DataFrame:
-    """a, b, n: pairs of different texts that share n sketches with a bucket's smallest or largest id between them, without those
-    whose lengths or profiles rule the similarity out."""
+def buckets(unique: DataFrame) -> DataFrame:
+    """id, words, key and the smallest and largest id of the bucket with their words, for every sketch that several texts share."""
     keys = unique.select("id", "words", F.explode("sketches").alias("key"))
     stars = keys.groupBy("key").agg(
         F.min("id").alias("low"), F.min_by("words", "id").alias("low_words"), F.max("id").alias("high"), F.max_by("words", "id").alias("high_words")
     ).filter("low < high")
+    return keys.join(stars, "key")
+
+
+def profiled(pairs: DataFrame, unique: DataFrame) -> DataFrame:
+    """The pairs (a, b, n) whose profiles don't rule the similarity out."""
+    left, right = unique.select(F.col("id").alias("a"), F.col("profile").alias("left")), unique.select(F.col("id").alias("b"), F.col("profile").alias("right"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.filter(F.pandas_udf(may_be_similar, "boolean")("left", "right")).select("a", "b", "n")
+
+
+def candidates(shared: DataFrame, unique: DataFrame) -> DataFrame:
+    """a, b, n: pairs of different texts that share n sketches with a bucket's smallest or largest id between them, without those
+    whose lengths or profiles rule the similarity out. ``shared`` is of ``buckets``."""
     centres = F.array(*[F.struct(F.col(c).alias("id"), F.col(f"{c}_words").alias("words")) for c in ("low", "high")])
-    shared = keys.join(stars, "key").select("id", "words", F.explode(centres).alias("centre")).filter(
+    shared = shared.select("id", "words", F.explode(centres).alias("centre")).filter(
         (F.col("id") != F.col("centre.id"))
         & (F.least("words", "centre.words") >= SIMILARITY * F.greatest("words", "centre.words") - 1e-9)
     )
     a, b = F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")
-    pairs = shared.select(a, b).groupBy("a", "b").agg(F.count("*").alias("n"))
-    left, right = unique.select(F.col("id").alias("a"), F.col("profile").alias("left")), unique.select(F.col("id").alias("b"), F.col("profile").alias("right"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.filter(F.pandas_udf(may_be_similar, "boolean")("left", "right")).select("a", "b", "n")
+    return profiled(shared.select(a, b).groupBy("a", "b").agg(F.count("*").alias("n")), unique)
+
+
+def remaining(shared: DataFrame, unique: DataFrame, state: DataFrame, tried: DataFrame) -> DataFrame:
+    """a, b, n: all pairs that share n sketches, are in different classes of ``state`` and aren't in ``tried``, without those whose lengths
+    or profiles rule the similarity out. Members of a bucket's largest class meet the others only, and the others everyone."""
+    member = shared.select("id", "words", "key").join(state, "id")
+    several = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    member = written(member.join(several, "key", "left_semi"), "open")
+    sizes = member.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("major"),
+        F.ceil(F.sum("n") / BLOCK).alias("all_blocks"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).alias("minor_blocks"),
+    )
+    rows = member.join(sizes, "key").withColumn("h", F.xxhash64("id"))
+    minor = rows.filter("root <> major").selectExpr(
+        "key", "id as x", "words as x_words", "root as x_root", "pmod(h, minor_blocks) as p", "explode(sequence(0L, all_blocks - 1)) as q")
+    every = rows.selectExpr(
+        "key", "id as y", "words as y_words", "root as y_root", "root = major as is_major", "pmod(h, all_blocks) as q", "explode(sequence(0L, minor_blocks - 1)) as p")
+    met = minor.join(every.hint("merge"), ["key", "p", "q"]).filter("x_root <> y_root and (is_major or x < y)").filter(
+        F.least("x_words", "y_words") >= SIMILARITY * F.greatest("x_words", "y_words") - 1e-9)
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return profiled(pairs.join(tried, ["a", "b"], "left_anti"), unique)
+
+
+def apart(pairs: DataFrame, state: DataFrame) -> DataFrame:
+    """The pairs in different classes, with these as ra and rb."""
+    ra, rb = state.select(F.col("id").alias("a"), F.col("root").alias("ra")), state.select(F.col("id").alias("b"), F.col("root").alias("rb"))
+    return pairs.join(ra, "a").join(rb, "b").filter("ra <> rb")
+
+
+def merged(state: DataFrame, links: DataFrame) -> DataFrame:
+    """``state`` (id, root) after the classes at both ends of every link became one."""
+    ends = written(apart(links, state).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "ends")
+    roots = components(ends).select(F.col("id").alias("root"), F.col("root").alias("above"))
+    return written(state.join(roots, "root", "left").select("id", F.coalesce("above", "root").alias("root")), "state")
+
+
+def settled(state: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``state`` after all ``pairs`` (a, b, n) are verified or in one class: first a few of each text, those that share most sketches, so
+    that classes grow before the many are looked at."""
+    place = F.row_number().over(W.partitionBy("b").orderBy(F.desc("n"), "a"))
+    pairs = written(pairs.select("a", "b", place.alias("place")), "placed")
+    last, done, most = pairs.agg(F.max("place")).first()[0] or 0, 0, FIRST_ROUND
+    while done < last:
+        links = written(verified(apart(pairs.filter(F.col("place").between(done + 1, most)), state), texts), "more")
+        if links.limit(1).count():
+            state = merged(state, links)
+        done, most = most, most * GROWTH
+    return state
 
 
 def texts_of(base: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -237,7 +348,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     firsts = written(known.groupBy("digest").agg(F.min("id").alias("first")), "firsts")
     # of an id that repeats with different texts the first digest stands for it
     unique = written(known.join(firsts, "digest").filter("id = first").drop("first").dropDuplicates(["id"]), "unique")
-    pairs = written(candidates(unique), "pairs")
+    shared = written(buckets(unique), "buckets")
+    pairs = written(candidates(shared, unique), "pairs")
     texts = written(texts_of(base, pairs), "texts")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     near = written(verified(best, texts), "near")
@@ -248,7 +360,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .join(ra, "a", "left").join(rb, "b", "left").filter(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)))
     )
     more = verified(open_pairs, texts)
-    roots = components(near.union(more).union(same_id(known, firsts))).select(F.col("id").alias("first"), "root")
+    roots = components(near.union(more).union(same_id(known, firsts)))
+    state = written(unique.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "state")
+    rest = written(remaining(shared, unique, state, pairs.select("a", "b")), "rest")
+    if rest.limit(1).count():
+        state = settled(state, rest, written(texts_of(base, rest), "texts"))
+    roots = state.select(F.col("id").alias("first"), "root")
     of_text = firsts.join(roots, "first", "left").select("digest", F.coalesce("root", "first").alias("class"))
     out = marked.select("id", "digest").join(of_text, "digest", "left")
     class_id = F.when(F.col("id").isNotNull(), F.coalesce("class", "id"))

@@ -109,3 +109,56 @@ def test_sketch_keeps_order():
     same = (nd.sketches(a, f) == nd.sketches(a.copy(), f)).mean()
     turned = (nd.sketches(a, f) == nd.sketches(np.r_[a[50:], a[:50]], f)).mean()
     assert same == 1 and 0.2 < turned < 0.8
+
+
+def classes_of_sharing_pairs(texts):
+    """Components of all pairs that share a sketch and are similar: what no cap on partners may lose."""
+    words = {i: hashed(t) for i, t in texts.items()}
+    keys = {i: set(nd.sketches(w, nd.multipliers()).tolist()) for i, w in words.items()}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if keys[i] & keys[j] and top(i) != top(j) and nd.similarity_of(words[i], words[j]) > 0:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in texts}
+
+
+def test_all_partners_in_large_buckets_are_compared(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = {}
+    base = rng.choices(vocabulary, k=200)
+    for i in range(300):  # siblings, many of them unlike the smallest and the largest
+        texts[len(texts)] = [rng.choice(vocabulary) if rng.random() < 0.12 else w for w in base]
+    passage = rng.choices(vocabulary, k=60)
+    for _ in range(60):  # pairs of near copies around a passage that all of them hold
+        own = rng.choices(vocabulary, k=25)
+        for _ in range(2):
+            texts[len(texts)] = passage + [rng.choice(vocabulary) if rng.random() < 0.5 else w for w in own]
+    order = list(texts)
+    rng.shuffle(order)
+    texts = {k: texts[i] for k, i in enumerate(order)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in nd.classes(df).collect()} == classes_of_sharing_pairs(texts)
+
+
+def test_both_alignments_agree():
+    rng = random.Random(4)
+    for _ in range(20):
+        a = [rng.randrange(50) for _ in range(rng.randint(0, 80))]
+        b = [x for x in a if rng.random() > 0.1] + [rng.randrange(50) for _ in range(rng.randint(0, 6))]
+        want = distance(a, b)
+        for most in (want - 1, want, want + 5):
+            got = nd.edits_by_bits(np.array(a, np.uint64), np.array(b, np.uint64), most)
+            assert got == (want if want <= most else None)
+    a = np.array([rng.randrange(400) for _ in range(nd.SHORT + 100)], np.uint64)
+    b = np.delete(a, [5, 90, 300])
+    assert nd.edits_within(a, b, 10) == nd.edits_by_bits(a, b, 10) == 3
