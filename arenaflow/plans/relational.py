@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -133,8 +134,22 @@ SELECT s_suppkey AS suppkey, r_regionkey AS regionkey, round(coalesce(v, 1000.0
 FROM supplier CROSS JOIN region LEFT JOIN p ON s = s_suppkey AND r = r_regionkey
 """)
 def cross_fallback(t: Tables):
+    """``cross_fallback_all`` with real values of the first customers only, as its SQL twin says."""
+    return _cross_fallback(t, t.orders.filter("o_custkey < 200"))
+
+
+@query("""
+WITH p AS (SELECT l_suppkey AS s, c_nationkey % 5 AS r, avg(l_extendedprice) AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)
+SELECT s_suppkey AS suppkey, r_regionkey AS regionkey, round(coalesce(v, 1000.0 + 10 * abs(s_nationkey - r_regionkey)), 4) AS price, v IS NULL AS estimated
+FROM supplier CROSS JOIN region LEFT JOIN p ON s = s_suppkey AND r = r_regionkey
+""")
+def cross_fallback_all(t: Tables):
+    return _cross_fallback(t, t.orders)
+
+
+def _cross_fallback(t: Tables, orders: DataFrame) -> DataFrame:
     """Every participant with every place, real values where there are any, else an estimate. The five regions are sent to all."""
-    o = t.orders.filter("o_custkey < 200").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    o = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     real = t.lineitem.join(o, "l_orderkey").join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey").groupBy(F.col("l_suppkey").alias("s_suppkey"), (F.col("c_nationkey") % 5).alias("r_regionkey")).agg(F.avg("l_extendedprice").alias("v"))
     grid = t.supplier.select("s_suppkey", "s_nationkey").crossJoin(F.broadcast(t.region.select("r_regionkey")))
     out = grid.join(real, ["s_suppkey", "r_regionkey"], "left")
