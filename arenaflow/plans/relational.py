@@ -278,3 +278,19 @@ def fuzzy_levenshtein(t: Tables):
     a, b = n.select(F.col("k").alias("a"), F.col("name").alias("x"), "block"), n.select(F.col("k").alias("b"), F.col("name").alias("y"), "block")
     j = a.join(b, "block").filter("a < b and abs(length(x) - length(y)) <= 1")
     return j.select("a", "b", F.levenshtein("x", "y").alias("d")).filter("d <= 1")
+
+
+@query("""
+WITH n AS (SELECT p_name AS name, count(*) AS n, min(p_partkey) AS k FROM part WHERE p_name IS NOT NULL GROUP BY 1)
+SELECT a.k AS a, b.k AS b, a.n AS n_a, b.n AS n_b, 1 AS d FROM n a JOIN n b ON a.name < b.name AND abs(length(a.name) - length(b.name)) <= 1 AND levenshtein(a.name, b.name) = 1
+UNION ALL SELECT k, k, n, n, 0 FROM n WHERE n > 1
+""")
+def fuzzy_levenshtein_all(t: Tables):
+    """Close names of the whole table: pairs of different names one edit apart (by the first part of each, with the number of parts), and
+    names that several parts have, with themselves. One edit apart means a common text with at most one letter deleted, so such variants block exactly."""
+    n = t.part.filter("p_name is not null").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("k"))
+    cut = "transform(sequence(1, length(name)), i -> concat(substring(name, 1, i - 1), substring(name, i + 1)))"
+    v = n.withColumn("v", F.explode(F.expr(f"array_distinct(concat(array(name), if(length(name) > 0, {cut}, array())))")))
+    a, b = v.selectExpr("v", "name as x", "k as a", "n as n_a"), v.selectExpr("v", "name as y", "k as b", "n as n_b")
+    pairs = a.join(b, "v").filter("x < y").drop("v").distinct().withColumn("d", F.levenshtein("x", "y")).filter("d = 1").select("a", "b", "n_a", "n_b", "d")
+    return pairs.unionByName(n.filter("n > 1").selectExpr("k as a", "k as b", "n as n_a", "n as n_b", "0 as d"))
