@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -192,8 +193,22 @@ g AS (SELECT o_orderpriority AS own, avg(o_totalprice) AS v, count(*) AS n FROM
 SELECT f.own, f.enemy, round(CASE WHEN f.n >= 4 THEN f.v ELSE g.v END, 4) AS bench, f.n >= 4 AS fine FROM f JOIN g USING (own)
 """)
 def benchmark_fallback(t: Tables):
+    """The benchmark of priority and status for the first customers only, as its SQL twin says; ``benchmark_fallback_all`` takes all orders."""
+    return _benchmark(t.orders.filter("o_custkey < 40").select(F.col("o_orderpriority").alias("own"), F.col("o_orderstatus").alias("enemy"), "o_totalprice"))
+
+
+@query("""
+WITH f AS (SELECT o_custkey AS own, o_orderpriority AS enemy, avg(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY 1, 2),
+g AS (SELECT o_custkey AS own, avg(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY 1)
+SELECT f.own, f.enemy, round(CASE WHEN f.n >= 4 THEN f.v ELSE g.v END, 4) AS bench, f.n >= 4 AS fine FROM f JOIN g USING (own)
+""")
+def benchmark_fallback_all(t: Tables):
+    """All orders, by customer and priority, so that both the finer and the coarse benchmark occur."""
+    return _benchmark(t.orders.select(F.col("o_custkey").alias("own"), F.col("o_orderpriority").alias("enemy"), "o_totalprice"))
+
+
+def _benchmark(o: DataFrame) -> DataFrame:
     """The finer benchmark if it has at least four rows, else the coarse one: both from one grouping-sets pass."""
-    o = t.orders.filter("o_custkey < 40").select(F.col("o_orderpriority").alias("own"), F.col("o_orderstatus").alias("enemy"), "o_totalprice")
     sets = o.groupingSets([[F.col("own"), F.col("enemy")], [F.col("own")]], "own", "enemy").agg(F.grouping("enemy").alias("g"), F.avg("o_totalprice").alias("v"), F.count("*").alias("n"))
     fine, coarse = sets.filter("g = 0"), sets.filter("g = 1").select("own", F.col("v").alias("c"))
     return fine.join(coarse, "own").select("own", "enemy", F.round(F.when(F.col("n") >= 4, F.col("v")).otherwise(F.col("c")), 4).alias("bench"), (F.col("n") >= 4).alias("fine"))
