@@ -20,11 +20,27 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
 
 
+def letters(name: str):
+    """The letters of a column, each with its occurrence number, in one order for all names: repeated and rare ones first."""
+    common = "etaoinshrdlcumwfgypbvkjxqz"
+    rare = f"if(instr('{common}', c) = 0, 99, instr('{common}', c))"
+    nth = f"length(substring({name}, 1, i)) - length(replace(substring({name}, 1, i), c, ''))"
+    one = f"transform(array(substring({name}, i, 1)), c -> struct(-({nth}) as nth, -{rare} as rare, c as c))[0]"
+    return F.expr(f"array_sort(transform(sequence(1, length({name})), i -> {one}))")
+
+
+def first_letters(of, length):
+    """Of the ordered letters so many that two names of ratio REVIEW or more have one in common. The ratio needs m >= REVIEW / 2 * (n + k)
+    common letters and the other name has k >= m, so m >= REVIEW / (2 - REVIEW) * n; sets with m common members share one
+    among the first n - m + 1 of each."""
+    return F.slice(of, F.lit(1), (length - F.ceil(length * (REVIEW / (2 - REVIEW)) - 1e-9) + 1).cast("int"))
+
+
 def resolve(raw: DataFrame, variants: DataFrame, excludes: DataFrame | None = None) -> DataFrame:
     """raw_name, login -> canonical_id, how (login, exact, fuzzy, review, new) and score.
 
     ``variants``: canonical_id, variant (any spelling or login). One deterministic pass: no name sees what another was resolved to.
-    Fuzzy pairs share a pair of adjacent letters at the same end or start and lie in a length band, so they meet by an equi key. A name in
+    Fuzzy pairs meet by an equi key without loss (see ``first_letters``) and lie in a length band. A name in
     ``excludes`` (canonical_id, variant) never matches that identity fuzzily. Null names stay unresolved.
     """
     known = variants.select("canonical_id", N.normalised("variant").alias("norm")).filter("norm <> ''").distinct()
@@ -34,10 +50,10 @@ def resolve(raw: DataFrame, variants: DataFrame, excludes: DataFrame | None = No
     hit = lambda df, k, how: df.select("raw_name", F.struct(F.lit(k).alias("k"), F.lit(0.0).alias("loss"), "canonical_id", F.lit(how).alias("how")).alias("m"))
     exact = hit(by_login, 0, "login").union(hit(by_name, 1, "exact"))
     rest = named.filter(F.length("norm") >= SHORTEST).join(exact.select("raw_name"), "raw_name", "left_anti").select("raw_name", F.col("norm").alias("x")).distinct()
-    blocks = lambda c: F.array_distinct(F.array(F.concat(F.lit("<"), F.substring(c, 1, 2)), F.concat(F.lit(">"), F.substring(c, -2, 2))))
-    left = rest.select("raw_name", "x", F.explode(blocks("x")).alias("block"))
-    right = known.filter(F.length("norm") >= SHORTEST).select("canonical_id", F.col("norm").alias("y"), F.explode(blocks("norm")).alias("block"))
+    left = rest.select("raw_name", "x", letters("x").alias("xs")).withColumn("block", F.explode(first_letters(F.col("xs"), F.length("x"))))
+    right = known.filter(F.length("norm") >= SHORTEST).select("canonical_id", F.col("norm").alias("y"), letters("norm").alias("ys")).withColumn("block", F.explode(first_letters(F.col("ys"), F.length("y"))))
     pairs = left.join(right, "block").filter(F.greatest(F.length("x"), F.length("y")) <= (2 / REVIEW - 1) * F.least(F.length("x"), F.length("y")))
+    pairs = pairs.filter(F.size(F.array_intersect("xs", "ys")) >= REVIEW / 2 * (F.length("x") + F.length("y")) - 1e-9)
     pairs = pairs.select("raw_name", "x", "y", "canonical_id").distinct()
     if excludes is not None:
         out = excludes.select("canonical_id", N.normalised("variant").alias("x"))
