@@ -2,23 +2,28 @@
 
 A document is its sequence of lower-case words. Its runs of five words are labelled with their occurrence number; each of SKETCHES hash
 functions samples the PICKED smallest labelled runs and keeps them in text order, so that equal sketches mean equal runs in equal
-order (Order MinHash, sensitive to edit similarity). Documents that share a sketch are compared with the smallest and the
-largest id of the bucket first (a star, linear in the bucket's size). The candidate with which a document shares most sketches is verified
-first; the others only where the classes found so far don't connect them already. Then every pair that shares a sketch and is still in
-different classes is compared, so that no partner is left out. Two documents are linked if their word
-edit similarity, 1 - edits / longer length, is at least 0.8; the alignment fills only the diagonals that the allowed edits reach.
+order (Order MinHash, sensitive to edit similarity). In texts of at most FEW words a single edit can touch most runs of five, so they
+get SHORT_SKETCHES more functions over runs of SHORT_RUN words.
+
+Different texts that share a sketch are compared with the smallest and the largest of the bucket first (a star, linear in the bucket's
+size). The candidate with which a text shares most sketches is verified first; the others only where the classes found so far don't
+connect them already. Every pair that shares a sketch and is still in different classes then has its turn: directly where a bucket
+has at most OUTSIDERS members outside its largest class, else by a join that loses no similar pair and doesn't grow with the
+square of the bucket: texts within d edits share one of their d + 1 rarest words (each word labelled with its occurrence number, rarity
+being one order for all texts), so the texts of such buckets meet by those words. Two texts are linked if their word edit
+similarity, 1 - edits / longer length, is at least 0.8; the alignment fills only the diagonals that the allowed edits reach.
 Classes are the connected components of the links, and exact copies (equal word sequences) share a class by their digest before any search.
 
-Recall: of simulated pairs (60 to 400 words) whose scattered edits touch 10 % or 15 % of the words, all 500 shared a sketch; at 20 %,
-the least similarity that counts, 92 % did (48 sketches: 78 %). Edits that stand together count less. tests/llm compares it with brute force.
+Recall is measured in tests/llm by length from 10 words on, at 20 % edits of all kinds, the least similarity that counts.
 
 Scale: a text is read once for the sketches and once more for candidates; sketches are hashes of 8 bytes; buckets are reduced by
-partial sums and skew joins, never collected; a third of all rows in one bucket gives one row each. What the stars leave open is
-linear in a bucket's largest class, but texts that share a sketch and resemble each other too little to be linked all meet: that part
-grows with the square of their number, in blocks of at most about BLOCK by BLOCK pairs a key of the join.
+partial sums and skew joins, never collected; a third of all rows in one bucket gives one row each. Keys with more than a HEAVY-th of
+all rows (so at most HEAVY keys) are joined by broadcast in the components. The rarest words need one order only, so that of words
+the FREQUENT most frequent ones are known to every task and all others count as equally rare.
 
 Cases: null texts and texts without words are classes of their own; texts under five words are one run; an id that repeats with
-different texts links their classes (rows of it without words stay apart); repeated rows each give a row; other columns are ignored.
+different texts links their classes (rows of it without words stay apart); repeated rows each give a row; ids are integers; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ from pyspark.sql import functions as F
 from arenaflow.llm.common import chunks, hashed, text_or_empty, written
 
 RUN, SKETCHES, PICKED, SIMILARITY, SEED = 5, 80, 2, 0.8, 5
+#: Texts of at most FEW words have further sketches, over shorter runs.
+FEW, SHORT_RUN, SHORT_SKETCHES = 50, 2, 32
 SKETCHED = "digest string, words int, profile binary, sketches array<long>"
 #: Classes of words in a document's profile, and how many ids may be broadcast (16 bytes each).
 CLASSES, SMALL = 64, 1_000_000
@@ -43,6 +50,10 @@ SHORT = 600
 KEPT = 4_000_000
 #: Members of a bucket in one block when all its pairs are made; pairs of a text that the first round of verifying takes (then GROWTH times as many).
 BLOCK, FIRST_ROUND, GROWTH = 256, 8, 8
+#: Members outside the largest class up to which a bucket's pairs are made directly; words whose frequency every task knows.
+OUTSIDERS, FREQUENT = 16, 50_000
+#: Keys with more than this part of a table's rows are joined by broadcast.
+HEAVY = 1000
 
 
 def words_of(text: str) -> list[str]:
@@ -59,11 +70,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def labelled_runs(words: np.ndarray) -> np.ndarray:
-    """A hash of every run of RUN words with its occurrence number (shorter texts: one run)."""
-    n = max(1, len(words) - RUN + 1)
+def labelled_runs(words: np.ndarray, run: int = RUN) -> np.ndarray:
+    """A hash of every run of so many words with its occurrence number (shorter texts: one run)."""
+    n = max(1, len(words) - run + 1)
     h = np.zeros(n, np.uint64)
-    for j in range(min(RUN, len(words))):
+    for j in range(min(run, len(words))):
         h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n])
     order = np.argsort(h, kind="stable")
     sorted_h = h[order]
@@ -74,9 +85,9 @@ def labelled_runs(words: np.ndarray) -> np.ndarray:
     return mixed(h + occurrence * np.uint64(0xD6E8FEB86659FD93))
 
 
-def sketches(words: np.ndarray, factors: np.ndarray) -> np.ndarray:
+def sketches(words: np.ndarray, factors: np.ndarray, run: int = RUN) -> np.ndarray:
     """One hash for each function: of the PICKED smallest labelled runs in text order."""
-    runs = labelled_runs(words)
+    runs = labelled_runs(words, run)
     k = min(PICKED, len(runs))
     out = []
     step = max(1, 2_000_000 // len(runs))
@@ -87,12 +98,18 @@ def sketches(words: np.ndarray, factors: np.ndarray) -> np.ndarray:
     picked = np.concatenate(out)
     # lengths within a factor of two share a bucket, with another boundary for each function: what differs more can't be similar
     band = np.floor(np.log2(len(words)) + np.arange(len(factors)) / len(factors)).astype(np.uint64)
-    h = mixed(np.arange(len(factors), dtype=np.uint64) * np.uint64(64) + band)
+    h = mixed((np.arange(len(factors), dtype=np.uint64) * np.uint64(8) + np.uint64(run)) * np.uint64(64) + band)
     for j in range(k):
         h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + picked[:, j])
     return h.astype(np.int64)
 
 
+def all_sketches(words: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Of a text's runs and, if it is short, of its shorter runs."""
+    own = sketches(words, factors)
+    return np.r_[own, sketches(words, factors[:SHORT_SKETCHES], SHORT_RUN)] if len(words) <= FEW else own
+
+
 def sketched(texts: pd.Series) -> pd.DataFrame:
     """Digest of the words and the sketches; nulls for texts without words."""
     factors, values, out = multipliers(), texts.tolist(), []
@@ -103,7 +120,7 @@ def sketched(texts: pd.Series) -> pd.DataFrame:
         for ws, end in zip(words, ends):
             digest = hashlib.md5(" ".join(ws).encode("utf-8", "surrogatepass")).hexdigest() if ws else None
             own = h[end - len(ws) : end]
-            out.append((digest, len(ws), profile(own), sketches(own, factors)) if ws else (None, 0, None, None))
+            out.append((digest, len(ws), profile(own), all_sketches(own, factors)) if ws else (None, 0, None, None))
     return pd.DataFrame(out, columns=["digest", "words", "profile", "sketches"])
 
 
@@ -233,16 +250,31 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("s", F.pandas_udf(similarity, "double")("left", "right")).filter("s > 0").select("a", "b")
 
 
+def heavy_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The keys (at most HEAVY) that hold more than a HEAVY-th of ``rows``."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    least = F.broadcast(rows.agg((F.count("*") / HEAVY).alias("least")))  # one row
+    return written(counts.join(least, F.col("n") > F.col("least")).select(key), "heavy")
+
+
+def looked_up(rows: DataFrame, key: str, heavy: DataFrame, of: DataFrame) -> DataFrame:
+    """``rows`` joined with ``of``, which has one row a key; rows of heavy keys stay where they are."""
+    heavy = F.broadcast(heavy)  # at most HEAVY keys, and as many rows of ``of``
+    few = F.broadcast(of.join(heavy, key, "left_semi"))
+    return rows.join(few, key).unionByName(rows.join(heavy, key, "left_anti").join(of, key))
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, root (the smallest id of its component) of every end of ``links`` (a, b). Each round takes the smallest root among the
     neighbours and then the root of that root, until nothing changes."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    state = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")), "roots")
+    both = written(links.select(F.col("a").alias("from"), F.col("b").alias("id")).union(links.select("b", "a")).distinct(), "links")
+    hubs = heavy_keys(both, "id")
+    state = written(both.groupBy(F.col("from").alias("id")).agg(F.least(F.col("from"), F.min("id")).alias("root")), "roots")
     while True:
-        near = both.join(state.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        step = state.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        near = looked_up(both, "id", hubs, state).groupBy(F.col("from").alias("id")).agg(F.min("root").alias("near"))
+        step = written(state.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root")), "steps")
         up = step.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        new = written(step.join(up, "root").select("id", "old", F.least("root", "above").alias("root")), "roots")
+        new = written(looked_up(step, "root", heavy_keys(step, "root"), up).select("id", "old", F.least("root", "above").alias("root")), "roots")
         state = new.select("id", "root")
         if not new.filter("root <> old").limit(1).count():
             return state
@@ -276,24 +308,76 @@ def candidates(shared: DataFrame, unique: DataFrame) -> DataFrame:
     return profiled(shared.select(a, b).groupBy("a", "b").agg(F.count("*").alias("n")), unique)
 
 
-def remaining(shared: DataFrame, unique: DataFrame, state: DataFrame, tried: DataFrame) -> DataFrame:
-    """a, b, n: all pairs that share n sketches, are in different classes of ``state`` and aren't in ``tried``, without those whose lengths
-    or profiles rule the similarity out. Members of a bucket's largest class meet the others only, and the others everyone."""
-    member = shared.select("id", "words", "key").join(state, "id")
-    several = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    member = written(member.join(several, "key", "left_semi"), "open")
-    sizes = member.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.max_by("root", F.struct("n", "root")).alias("major"),
-        F.ceil(F.sum("n") / BLOCK).alias("all_blocks"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).alias("minor_blocks"),
+def class_sizes(member: DataFrame) -> DataFrame:
+    """key, major (its largest class), members and outsiders (those of other classes)."""
+    return member.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("outsiders")
     )
-    rows = member.join(sizes, "key").withColumn("h", F.xxhash64("id"))
+
+
+def met(member: DataFrame, sizes: DataFrame) -> DataFrame:
+    """a, b, n: pairs of ``member`` (id, words, root, key) in different classes that share n keys and whose lengths allow the similarity.
+    Members of a key's largest class meet the others only, and the others everyone, in blocks of both."""
+    rows = member.join(
+        sizes.select("key", "major", F.ceil(F.col("members") / BLOCK).alias("all_blocks"), F.ceil(F.col("outsiders") / BLOCK).alias("minor_blocks")), "key"
+    ).withColumn("h", F.xxhash64("id"))
     minor = rows.filter("root <> major").selectExpr(
         "key", "id as x", "words as x_words", "root as x_root", "pmod(h, minor_blocks) as p", "explode(sequence(0L, all_blocks - 1)) as q")
     every = rows.selectExpr(
         "key", "id as y", "words as y_words", "root as y_root", "root = major as is_major", "pmod(h, all_blocks) as q", "explode(sequence(0L, minor_blocks - 1)) as p")
-    met = minor.join(every.hint("merge"), ["key", "p", "q"]).filter("x_root <> y_root and (is_major or x < y)").filter(
-        F.least("x_words", "y_words") >= SIMILARITY * F.greatest("x_words", "y_words") - 1e-9)
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    fits = (
+        (F.col("x_root") != F.col("y_root")) & (F.col("is_major") | (F.col("x") < F.col("y")))
+        & (F.least("x_words", "y_words") >= SIMILARITY * F.greatest("x_words", "y_words") - 1e-9)
+    )
+    pairs = minor.join(every.hint("merge"), ["key", "p", "q"]).filter(fits)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def word_labels(text: str) -> np.ndarray:
+    """A hash of each word with its occurrence number."""
+    return labelled_runs(hashed(words_of(text)), 1)
+
+
+def labels_of(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: word_labels(t).view(np.int64))
+
+
+def rarest(known: np.ndarray, text: str) -> np.ndarray:
+    """The d + 1 rarest labelled words of a text that allows d edits; ``known``: the frequent ones, most frequent last. A partner
+    within d edits has all but d of the text's labels (a longer one allows more edits by as many words as it is longer, at least),
+    and so the rarest label that both have is among the first d + 1 of either."""
+    labels = word_labels(text)
+    order = np.argsort(known, kind="stable")
+    at = np.minimum(np.searchsorted(known, labels, sorter=order), max(len(known) - 1, 0))
+    place = np.where(known[order[at]] == labels, order[at] + 1, 0) if len(known) else np.zeros(len(labels), int)
+    first = np.lexsort((labels, place))[: int((1 - SIMILARITY) * len(labels) + 1e-9) + 1]
+    return labels[first].view(np.int64)
+
+
+def by_rare_words(open_texts: DataFrame) -> DataFrame:
+    """id, key of the rarest labelled words of id, text."""
+    label = F.explode(F.pandas_udf(labels_of, "array<long>")("text")).alias("key")
+    counts = open_texts.select(label).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
+    known = np.array([r.key for r in reversed(top)], np.int64).view(np.uint64)
+    keys = F.pandas_udf(lambda texts: texts.map(lambda t: rarest(known, t)), "array<long>")
+    return open_texts.select("id", F.explode(keys("text")).alias("key"))
+
+
+def remaining(shared: DataFrame, unique: DataFrame, state: DataFrame, tried: DataFrame, base: DataFrame) -> DataFrame:
+    """a, b, n: all pairs that share sketches (n, or n rare words), are in different classes of ``state`` and aren't in ``tried``, without
+    those whose lengths or profiles rule the similarity out."""
+    member = shared.select("id", "words", "key").join(state, "id")
+    several = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    member = written(member.join(several, "key", "left_semi"), "open")
+    sizes = written(class_sizes(member), "sizes")
+    few, many = sizes.filter(F.col("outsiders") <= OUTSIDERS), sizes.filter(F.col("outsiders") > OUTSIDERS)
+    pairs = met(member, few)
+    if many.limit(1).count():
+        crowded = written(member.join(many, "key", "left_semi").select("id", "words", "root").distinct(), "crowded")
+        rare = by_rare_words(texts_of(base, crowded.select("id"), unique))
+        member = written(rare.join(crowded, "id").select("id", "words", "root", "key"), "rare")
+        pairs = pairs.unionByName(met(member, class_sizes(member).filter("outsiders > 0"))).groupBy("a", "b").agg(F.sum("n").alias("n"))
     return profiled(pairs.join(tried, ["a", "b"], "left_anti"), unique)
 
 
@@ -324,33 +408,52 @@ def settled(state: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return state
 
 
-def texts_of(base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id and text of every id in ``pairs``. Few ids go to the texts; many make both sides meet by id."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def texts_of(base: DataFrame, ids: DataFrame, unique: DataFrame) -> DataFrame:
+    """id and text of every id in ``ids`` (once each), found by a row that has it. Few ids go to the texts; many make both sides meet."""
+    wanted = written(unique.join(ids, "id", "left_semi").select(F.col("id").alias("node"), F.col("doc").alias("id"), "raw"), "wanted")
     if wanted.count() <= SMALL:
         wanted = F.broadcast(wanted)
-    return base.join(wanted, "id").groupBy("id").agg(F.min_by("text", F.md5("text")).alias("text"))
+    found = base.withColumn("raw", F.xxhash64("text")).join(wanted, ["id", "raw"])
+    return found.groupBy(F.col("node").alias("id")).agg(F.min("text").alias("text"))
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+
+def same_id(known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links a, b between the texts of ids that repeat with different texts."""
+    several = known.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high").select("id", "low")
+    several = known.select("id", "digest").distinct().join(several, "id").filter("digest <> low")
+    a, b = nodes.select(F.col("digest").alias("low"), F.col("node").alias("a")), nodes.select("digest", F.col("node").alias("b"))
+    return several.join(a, "low").join(b, "digest").select("a", "b").distinct()
 
 
-def same_id(known: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Links a, b between the texts of ids that repeat with different texts (each text by its first id)."""
-    several = known.select("id", "digest").distinct().join(known.groupBy("id").agg(F.min("digest").alias("low")), "id").filter("digest <> low")
-    a, b = firsts.select(F.col("digest").alias("low"), F.col("first").alias("a")), firsts.select("digest", F.col("first").alias("b"))
-    return several.join(a, "low").join(b, "digest").filter("a <> b").select("a", "b")
+def numbered(firsts: DataFrame) -> DataFrame:
+    """digest, first and node: a number of its own for every digest, which is its first id; where several texts have that id the others are
+    numbered below the smallest id."""
+    own = firsts.groupBy("first").agg(F.min("digest").alias("digest"), F.count("*").alias("texts"))
+    one = firsts.join(own.select("first", F.col("digest").alias("owner"), "texts"), "first")
+    rest = one.filter("digest <> owner").select("digest", "first", F.monotonically_increasing_id().alias("m"))
+    least = F.broadcast(firsts.agg(F.min("first").alias("least")))  # one row
+    return one.filter("digest = owner").select("digest", "first", F.col("first").cast("long").alias("node")).unionByName(
+        rest.join(least).select("digest", "first", (F.col("least") - 1 - F.col("m")).cast("long").alias("node")))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id (smallest id of the class) and is_first (the row's id is the class's) of every row. Classes are found among different
     texts; copies take part by their digest at the end, so that their number makes no links."""
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    marked = written(base.select("id", F.pandas_udf(sketched, SKETCHED)("text").alias("s")).select("id", "s.*"), "sketches")
+    raw = F.xxhash64("text").alias("raw")  # tells the texts of one id apart
+    marked = written(base.select("id", raw, F.pandas_udf(sketched, SKETCHED)("text").alias("s")).select("id", "raw", "s.*"), "sketches")
     known = marked.filter("digest is not null and id is not null")
-    firsts = written(known.groupBy("digest").agg(F.min("id").alias("first")), "firsts")
-    # of an id that repeats with different texts the first digest stands for it
-    unique = written(known.join(firsts, "digest").filter("id = first").drop("first").dropDuplicates(["id"]), "unique")
+    nodes = written(numbered(written(known.groupBy("digest").agg(F.min("id").alias("first")), "firsts")), "nodes")
+    unique = known.join(nodes, "digest").filter("id = first").select(
+        F.col("node").alias("id"), F.col("first").alias("doc"), "raw", "words", "profile", "sketches")
+    unique = written(unique.dropDuplicates(["id"]), "unique")
     shared = written(buckets(unique), "buckets")
     pairs = written(candidates(shared, unique), "pairs")
-    texts = written(texts_of(base, pairs), "texts")
+    texts = written(texts_of(base, ends_of(pairs), unique), "texts")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     near = written(verified(best, texts), "near")
     roots = components(near)
@@ -360,13 +463,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .join(ra, "a", "left").join(rb, "b", "left").filter(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)))
     )
     more = verified(open_pairs, texts)
-    roots = components(near.union(more).union(same_id(known, firsts)))
+    roots = components(near.union(more).union(same_id(known, nodes)))
     state = written(unique.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "state")
-    rest = written(remaining(shared, unique, state, pairs.select("a", "b")), "rest")
+    rest = written(remaining(shared, unique, state, pairs.select("a", "b"), base), "rest")
     if rest.limit(1).count():
-        state = settled(state, rest, written(texts_of(base, rest), "texts"))
-    roots = state.select(F.col("id").alias("first"), "root")
-    of_text = firsts.join(roots, "first", "left").select("digest", F.coalesce("root", "first").alias("class"))
+        state = settled(state, rest, written(texts_of(base, ends_of(rest), unique), "texts"))
+    of_node = nodes.join(state.select(F.col("id").alias("node"), "root"), "node")
+    firsts = of_node.groupBy("root").agg(F.min("first").alias("class"))
+    of_text = of_node.join(firsts, "root").select("digest", "class")
     out = marked.select("id", "digest").join(of_text, "digest", "left")
     class_id = F.when(F.col("id").isNotNull(), F.coalesce("class", "id"))
     return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.col("id").eqNullSafe(class_id).alias("is_first"))

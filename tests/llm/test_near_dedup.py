@@ -147,7 +147,40 @@ def test_all_partners_in_large_buckets_are_compared(spark):
     rng.shuffle(order)
     texts = {k: texts[i] for k, i in enumerate(order)}
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
-    assert {r.doc_id: r.class_id for r in nd.classes(df).collect()} == classes_of_sharing_pairs(texts)
+    got, least = {r.doc_id: r.class_id for r in nd.classes(df).collect()}, classes_of_sharing_pairs(texts)
+    most = classes_by_hand([(i, " ".join(t)) for i, t in texts.items()])
+    assert len({(got[i], c) for i, c in least.items()}) == len(set(least.values()))  # no link of texts that share a sketch is lost
+    assert len({(most[i], c) for i, c in got.items()}) == len(set(got.values()))  # and none is made up
+
+
+def test_rarest_words_are_shared_by_all_similar_texts():
+    rng = random.Random(5)
+    for _ in range(300):
+        vocabulary = [f"w{i}" for i in range(rng.choice([3, 20, 400]))]
+        a = rng.choices(vocabulary, k=rng.randint(1, 60))
+        b = edited(rng, a, 0.15, vocabulary + ["new"])
+        if not b or nd.similarity_of(hashed(a), hashed(b)) == 0:
+            continue
+        known = nd.word_labels(" ".join(rng.choices(vocabulary, k=30)))
+        known = np.unique(known[rng.randint(0, 29) :])
+        rng.shuffle(known)
+        assert set(nd.rarest(known, " ".join(a))) & set(nd.rarest(known, " ".join(b)))
+
+
+def test_recall_by_length_at_the_least_similarity():
+    """At 20 % edits of all kinds at least 0.9 of the pairs whose own similarity is 0.8 or more share a sketch, in each band of length."""
+    rng, factors = random.Random(6), nd.multipliers()
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for lo, hi in ((10, 15), (15, 20), (20, 40), (40, 51), (51, 64), (64, 120), (120, 400)):
+        met = of = 0
+        while of < 150:
+            a = rng.choices(vocabulary, k=rng.randint(lo, hi))
+            b = edited(rng, a, 0.2, vocabulary)
+            if not b or not 0 < nd.similarity_of(hashed(a), hashed(b)) <= 0.84:
+                continue
+            of += 1
+            met += bool(set(nd.all_sketches(hashed(a), factors)) & set(nd.all_sketches(hashed(b), factors)))
+        assert met >= 0.9 * of, (lo, hi, met / of)
 
 
 def test_both_alignments_agree():
