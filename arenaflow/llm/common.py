@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see (``spark.checkpoint.dir``); one is made only where none is set, as in tests."""
+    """The folder that all executors see (``spark.checkpoint.dir``); one is made only for a local session where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -32,6 +34,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, which: Column) -> tuple[DataFrame, int]:
+    """``written``, and how many of the rows hold ``which``, counted while they are written (rows of a repeated task may count twice)."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count_if(which).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def hashed(words: list[str]) -> np.ndarray:
     """A 64-bit value for every word, the same in every process."""
     if not words:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arenaflow.llm.common import chunks, hashed, text_or_empty, written
+from arenaflow.llm.common import chunks, counted, hashed, text_or_empty, written
 
 RUN, SKETCHES, PICKED, SIMILARITY, SEED = 5, 80, 2, 0.8, 5
 #: Texts of at most FEW words have further sketches, over shorter runs.
@@ -49,7 +49,7 @@ SHORT = 600
 #: Words whose hashes a batch of pairs keeps.
 KEPT = 4_000_000
 #: Members of a bucket in one block when all its pairs are made; pairs of a text that the first round of verifying takes (then GROWTH times as many).
-BLOCK, FIRST_ROUND, GROWTH = 256, 8, 8
+BLOCK, FIRST_ROUND, GROWTH = 256, 8, 64
 #: Members outside the largest class up to which a bucket's pairs are made directly; words whose frequency every task knows.
 OUTSIDERS, FREQUENT = 16, 50_000
 #: Keys with more than this part of a table's rows are joined by broadcast.
@@ -250,11 +250,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("s", F.pandas_udf(similarity, "double")("left", "right")).filter("s > 0").select("a", "b")
 
 
-def heavy_keys(rows: DataFrame, key: str) -> DataFrame:
-    """The keys (at most HEAVY) that hold more than a HEAVY-th of ``rows``."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    least = F.broadcast(rows.agg((F.count("*") / HEAVY).alias("least")))  # one row
-    return written(counts.join(least, F.col("n") > F.col("least")).select(key), "heavy")
+def heavy_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """The keys (at most HEAVY) that hold more than a HEAVY-th of the ``total`` rows."""
+    return written(rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > total / HEAVY).select(key), "heavy")
 
 
 def looked_up(rows: DataFrame, key: str, heavy: DataFrame, of: DataFrame) -> DataFrame:
@@ -267,17 +265,20 @@ def looked_up(rows: DataFrame, key: str, heavy: DataFrame, of: DataFrame) -> Dat
 def components(links: DataFrame) -> DataFrame:
     """id, root (the smallest id of its component) of every end of ``links`` (a, b). Each round takes the smallest root among the
     neighbours and then the root of that root, until nothing changes."""
-    both = written(links.select(F.col("a").alias("from"), F.col("b").alias("id")).union(links.select("b", "a")).distinct(), "links")
-    hubs = heavy_keys(both, "id")
+    both = links.select(F.col("a").alias("from"), F.col("b").alias("id")).union(links.select("b", "a")).distinct()
+    both, total = counted(both, "links", F.lit(True))
+    hubs = heavy_keys(both, "id", total)
     state = written(both.groupBy(F.col("from").alias("id")).agg(F.least(F.col("from"), F.min("id")).alias("root")), "roots")
-    while True:
+    changed = total
+    while changed:
         near = looked_up(both, "id", hubs, state).groupBy(F.col("from").alias("id")).agg(F.min("root").alias("near"))
         step = written(state.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root")), "steps")
         up = step.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        new = written(looked_up(step, "root", heavy_keys(step, "root"), up).select("id", "old", F.least("root", "above").alias("root")), "roots")
+        # nothing follows this join, so that Spark can split the rows of one root
+        new = step.join(up, "root").select("id", "old", F.least("root", "above").alias("root"))
+        new, changed = counted(new, "roots", F.col("root") != F.col("old"))
         state = new.select("id", "root")
-        if not new.filter("root <> old").limit(1).count():
-            return state
+    return state
 
 
 def buckets(unique: DataFrame) -> DataFrame:
@@ -389,21 +390,21 @@ def apart(pairs: DataFrame, state: DataFrame) -> DataFrame:
 
 def merged(state: DataFrame, links: DataFrame) -> DataFrame:
     """``state`` (id, root) after the classes at both ends of every link became one."""
-    ends = written(apart(links, state).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "ends")
+    ends, n = counted(apart(links, state).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "ends", F.lit(True))
+    if not n:
+        return state
     roots = components(ends).select(F.col("id").alias("root"), F.col("root").alias("above"))
     return written(state.join(roots, "root", "left").select("id", F.coalesce("above", "root").alias("root")), "state")
 
 
-def settled(state: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def settled(state: DataFrame, pairs: DataFrame, texts: DataFrame, first: int = FIRST_ROUND) -> DataFrame:
     """``state`` after all ``pairs`` (a, b, n) are verified or in one class: first a few of each text, those that share most sketches, so
     that classes grow before the many are looked at."""
     place = F.row_number().over(W.partitionBy("b").orderBy(F.desc("n"), "a"))
     pairs = written(pairs.select("a", "b", place.alias("place")), "placed")
-    last, done, most = pairs.agg(F.max("place")).first()[0] or 0, 0, FIRST_ROUND
+    last, done, most = pairs.agg(F.max("place")).first()[0] or 0, 0, first
     while done < last:
-        links = written(verified(apart(pairs.filter(F.col("place").between(done + 1, most)), state), texts), "more")
-        if links.limit(1).count():
-            state = merged(state, links)
+        state = merged(state, written(verified(apart(pairs.filter(F.col("place").between(done + 1, most)), state), texts), "more"))
         done, most = most, most * GROWTH
     return state
 
@@ -453,21 +454,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     unique = written(unique.dropDuplicates(["id"]), "unique")
     shared = written(buckets(unique), "buckets")
     pairs = written(candidates(shared, unique), "pairs")
-    texts = written(texts_of(base, ends_of(pairs), unique), "texts")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    near = written(verified(best, texts), "near")
-    roots = components(near)
-    ra, rb = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-    open_pairs = (
-        pairs.join(best.withColumn("tried", F.lit(True)), ["a", "b"], "left").filter("tried is null")
-        .join(ra, "a", "left").join(rb, "b", "left").filter(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)))
-    )
-    more = verified(open_pairs, texts)
-    roots = components(near.union(more).union(same_id(known, nodes)))
-    state = written(unique.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "state")
+    state = merged(unique.select("id", F.col("id").alias("root")), same_id(known, nodes))
+    state = settled(state, pairs, written(texts_of(base, ends_of(pairs), unique), "texts"), first=1)
     rest = written(remaining(shared, unique, state, pairs.select("a", "b"), base), "rest")
-    if rest.limit(1).count():
-        state = settled(state, rest, written(texts_of(base, ends_of(rest), unique), "texts"))
+    state = settled(state, rest, written(texts_of(base, ends_of(rest), unique), "texts"))
     of_node = nodes.join(state.select(F.col("id").alias("node"), "root"), "node")
     firsts = of_node.groupBy("root").agg(F.min("first").alias("class"))
     of_text = of_node.join(firsts, "root").select("digest", "class")
