@@ -1,19 +1,25 @@
 """Exact top-k inner products by no-random-access aggregation.
 
-Vectors are made of integers floor(scale * x). A partition's candidates give two sorted lists for every dimension (descending for
-positive query weights, ascending for negative ones). A block of queries reads all lists in step to growing depths. What has been read
-of a candidate, plus the worst (best) values that the unread entries of its other lists can still take, is its lower (upper) bound;
-the best possible unread value of a list is the one at the reading position. Candidates whose upper bound is below the k-th
-largest lower bound leave; reading stops when few are left or the lists end, and the final scores of those are resolved. The bounds of all
-queries and candidates of a block are matrix products over clipped values. Each partition keeps k rows a query, and a window over
-those gives the result, as the best k of all are among the best k of their partitions.
+Vectors are made of integers floor(scale * x). The candidates of a task (in lots of LISTED components) give a sorted list for every
+dimension, which a query reads from the top where its weight is positive and from the bottom where it is negative. All lists are read in
+step to doubling depths. What has been read of a candidate, plus the worst (best) values that the unread entries of its other lists can
+still take, is its lower (upper) bound; the best possible unread value of a list is the one at the reading position. Candidates whose upper
+bound is below the k-th largest lower bound leave the query. A query with few candidates left stops reading and their final scores are
+resolved; one that never stops has read its lists to their ends, and then what was read is the score. The bounds of many queries and
+candidates are matrix products over the entries read so far. They are made at a depth only if those of a few candidates show that
+somebody would leave, which decides when bounds are looked at and not what is returned.
 
-Queries are a stated set; they are taken in blocks of ``block`` rows of a range of ids, each sent to the tasks at a fixed size, so
-that any number of queries is met by more passes, never by larger ones.
+Each lot keeps k rows a query, and a window over those gives the result, as the best k of all are among the best k of their lots.
+
+Queries are a stated set; they are taken in blocks of ``block`` rows of a range of ids. A block is collected, sent to the tasks and its
+result written before the next one is collected, so that more queries mean more passes and never more in the driver or a task.
+
+On vectors whose scores are the sum of many small parts (random ones) no bound decides before the lists end, and the cost is that of all
+products; on skewed ones the lists are read in part. ``read`` of ``top_of_lot`` counts the entries.
 
 Cases: vectors that are null, or hold null or non-finite components, take no part; so do rows with a null id; ties go to the smaller
 id; a query's own id is never its candidate; vectors of different lengths only meet those of their own; fewer than k candidates
-give fewer rows; scores must fit a long.
+give fewer rows; scores must fit a long; repeated rows are candidates each.
 """
 
 from __future__ import annotations
@@ -29,61 +35,95 @@ from pyspark.sql import functions as F
 from arenaflow.llm.common import written
 
 RESULT = "query_id long, vec_id long, score long"
-#: Shares of the lists after which the bounds are compared.
-DEPTHS = (0.04, 0.15, 0.4)
-#: Largest sum of products that doubles hold exactly.
-EXACT = float(2**53)
-#: Queries whose bounds are held at once, by candidates: 2M doubles a matrix.
-CELLS = 2_000_000
-
-
-def sorted_lists(c: np.ndarray) -> np.ndarray:
-    """Every column ascending; read from the end it is the descending list."""
-    return np.sort(c, axis=0)
-
-
-def bounds(q: np.ndarray, c: np.ndarray, lists: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds (queries x candidates) after ``depth`` entries of every list."""
-    up, down = np.maximum(q, 0.0), np.minimum(q, 0.0)
-    high, low = lists[-depth], lists[depth - 1]  # the values at the reading positions, from either end
-    read_up, read_down = c >= high, c <= low
-    lower = up @ np.where(read_up, c, lists[0]).T + down @ np.where(read_down, c, lists[-1]).T
-    upper = up @ np.where(read_up, c, high).T + down @ np.where(read_down, c, low).T
-    return lower, upper
-
-
-def top_of_block(q_ids, q, ids, c, k: int, depths=DEPTHS) -> pd.DataFrame:
-    """The best k candidates of each query within one block of candidates, with their scores."""
-    out = []
-    lists = sorted_lists(c)
-    n = len(c)
+#: The first depth is this part of the lists (each next one is twice as deep); queries with at most FEW * k candidates are resolved.
+FIRST, FEW = 1 / 32, 4
+#: Candidates whose bounds are tried first, and the part of those that must leave for all bounds to be made.
+TRIED, LEAVING = 256, 0.2
+#: Largest sums of products that doubles and single floats hold exactly.
+EXACT, EXACT_SINGLE = float(2**53), float(2**24)
+#: Components in one lot of candidates; queries times candidates whose bounds are held at once.
+LISTED, CELLS = 4_000_000, 2_000_000
+
+
+class Lists:
+    """The sorted lists of a lot of candidates ``c`` (rows), read in step from both ends."""
+
+    def __init__(self, c: np.ndarray):
+        self.n, order = len(c), np.argsort(c, axis=0, kind="stable")
+        self.c, self.ascending = c, np.take_along_axis(c, order, 0)
+        self.place = np.empty(c.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(self.n, dtype=np.int32)[:, None], 0)
+
+    def bounds(self, q: np.ndarray, columns: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds (queries x candidates) of the candidates ``columns`` after ``depth`` entries of every list."""
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        c, place, last = self.c[columns], self.place[columns], self.n - 1
+        read_up, read_down = place >= self.n - depth, place < depth
+        lower = up @ np.where(read_up, c, self.ascending[0]).T + down @ np.where(read_down, c, self.ascending[last]).T
+        high, low = self.ascending[self.n - depth], self.ascending[depth - 1]  # the values at the reading positions
+        upper = up @ np.where(read_up, c, high).T + down @ np.where(read_down, c, low).T
+        return lower, upper
+
+    def somebody_leaves(self, q: np.ndarray, alive: np.ndarray, depth: int) -> bool:
+        """Whether enough of a few candidates fall below the best lower bound among them."""
+        columns = np.unique(np.linspace(0, self.n - 1, TRIED).astype(np.int64))
+        lower, upper = self.bounds(q, columns, depth)
+        live = alive[:, columns]
+        best = np.where(live, lower, -np.inf).max(axis=1)
+        return (live & (upper < best[:, None])).sum() >= LEAVING * max(1, live.sum())
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores, ties to the smaller id."""
+    kept = np.arange(len(scores))
+    if len(kept) > k:
+        kept = np.flatnonzero(scores >= np.partition(scores, len(kept) - k)[-k])
+    return kept[np.lexsort((ids[kept], -scores[kept]))][:k]
+
+
+def top_of_lot(q_ids, q, ids, c, k: int, read: dict | None = None) -> pd.DataFrame:
+    """The best k candidates of each query within one lot of candidates, with their scores. ``read`` gets for every query id the number
+    of entries that were read, those of resolved candidates included."""
+    out, n, m = [], len(c), c.shape[1]
+    single = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(m, 1) < EXACT_SINGLE
+    q, lists = (q.astype(np.float32), Lists(c.astype(np.float32))) if single else (q, Lists(c))
     step = max(1, CELLS // n)
     for lo in range(0, len(q), step):
-        part, part_ids = q[lo : lo + step], q_ids[lo : lo + step]
-        alive = np.ones((len(part), n), bool)
-        alive[part_ids[:, None] == ids[None, :]] = False
-        columns = np.arange(n)
-        for share in depths:
-            depth = max(1, int(share * n))
-            if n <= 4 * k:
-                break
-            lower, upper = bounds(part, c[columns], lists, depth)
-            live = alive[:, columns]
-            kth = np.partition(np.where(live, lower, -np.inf), len(columns) - k, axis=1)[:, -k]
-            alive[:, columns] = live & (upper >= kth[:, None])
-            columns = np.flatnonzero(alive.any(axis=0))
-            if alive.sum() <= 8 * k * len(part) or len(columns) <= k:
-                break
-        scores = part @ c[columns].T
-        scores[~alive[:, columns]] = -np.inf
-        for i, row in enumerate(scores):
-            kept = np.flatnonzero(row > -np.inf)
-            if len(kept) > k:
-                edge = np.partition(row[kept], len(kept) - k)[-k]
-                kept = kept[row[kept] >= edge]
-            best = kept[np.lexsort((ids[columns[kept]], -row[kept]))][:k]
-            out.append(pd.DataFrame({"query_id": part_ids[i], "vec_id": ids[columns[best]], "score": row[best].astype(np.int64)}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        part_ids = q_ids[lo : lo + step]
+        alive = part_ids[:, None] != ids[None, :]
+        open_queries, depth = np.arange(len(part_ids)), max(k, int(FIRST * n))
+        while len(open_queries) and depth < n:
+            part = q[lo : lo + step][open_queries]
+            if lists.somebody_leaves(part, alive[open_queries], depth):
+                columns = np.flatnonzero(alive[open_queries].any(axis=0))
+                lower, upper = lists.bounds(part, columns, depth)
+                live = alive[np.ix_(open_queries, columns)]
+                place = max(0, len(columns) - k)
+                kth = np.partition(np.where(live, lower, -np.inf), place, axis=1)[:, place]
+                live &= upper >= kth[:, None]
+                alive[np.ix_(open_queries, columns)] = live
+                done = live.sum(axis=1) <= FEW * k
+                for i in open_queries[done]:
+                    own = np.flatnonzero(alive[i])
+                    scores = lists.c[own] @ q[lo + i]
+                    best = own[best_of(scores, ids[own], k)]
+                    out.append((part_ids[i], ids[best], scores[np.searchsorted(own, best)]))
+                    if read is not None:
+                        read[int(part_ids[i])] = depth * m + int(((lists.place[own] >= depth) & (lists.place[own] < n - depth)).sum())
+                open_queries = open_queries[~done]
+            depth *= 2
+        if len(open_queries):
+            # the lists have been read to their ends: every entry of the candidates left is known
+            columns = np.flatnonzero(alive[open_queries].any(axis=0))
+            scores = q[lo : lo + step][open_queries] @ lists.c[columns].T
+            for i, row in zip(open_queries, scores):
+                own = np.flatnonzero(alive[i, columns])
+                best = own[best_of(row[own], ids[columns[own]], k)]
+                out.append((part_ids[i], ids[columns[best]], row[best]))
+                if read is not None:
+                    read[int(part_ids[i])] = n * m
+    frames = [pd.DataFrame({"query_id": i, "vec_id": v, "score": s.astype(np.int64)}) for i, v, s in out]
+    return pd.concat(frames) if frames else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
 def exact_by_hand(q_ids, q, ids, c, k: int) -> pd.DataFrame:
@@ -123,6 +163,25 @@ def query_blocks(queries: DataFrame, block: int):
             yield got
 
 
+def lots(batches, sets):
+    """(length, ids, components) of a task's candidates in lots of about LISTED components, by length of the vectors."""
+    waiting: dict[int, list] = {}
+    for b in batches:
+        lengths = b["v"].map(len).to_numpy()
+        for n in np.unique(lengths).tolist():
+            if n not in sets:
+                continue
+            own = b[lengths == n]
+            held = waiting.setdefault(n, [])
+            held.append((own["vec_id"].to_numpy(), np.array(own["v"].tolist(), float).reshape(len(own), n)))
+            if sum(len(i) for i, _ in held) * max(n, 1) >= LISTED:
+                yield n, *map(np.concatenate, zip(*held))
+                waiting[n] = []
+    for n, held in waiting.items():
+        if held:
+            yield n, *map(np.concatenate, zip(*held))
+
+
 def top_products(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for every row whose id is divisible by ``every``, its k best of all other rows."""
     all_rows = usable(vectors, scale, id_col, vec_col)
@@ -134,20 +193,15 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, scale: float
         sets = {n: (np.array([r.vec_id for r in rs]), np.array([r.v for r in rs], float).reshape(len(rs), n)) for n, rs in by_length.items()}
 
         def search(batches, sets=sets):
-            for b in batches:
-                lengths = b["v"].map(len).to_numpy()
-                for n in np.unique(lengths):
-                    if int(n) not in sets:
-                        continue
-                    q_ids, q = sets[int(n)]
-                    own = b[lengths == n]
-                    ids, c = own["vec_id"].to_numpy(), np.array(own["v"].tolist(), float).reshape(len(own), n)
-                    largest = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(n, 1)
-                    yield (top_of_block if largest < EXACT else exact_by_hand)(q_ids, q, ids, c, k).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
-
-        found = all_rows.mapInPandas(search, RESULT)
+            for n, ids, c in lots(batches, sets):
+                q_ids, q = sets[n]
+                largest = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(n, 1)
+                found = (top_of_lot if largest < EXACT else exact_by_hand)(q_ids, q, ids, c, k)
+                yield found.astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
+
+        found = written(all_rows.mapInPandas(search, RESULT), "topk")
         result = found if result is None else result.unionByName(found)
     if result is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return written(result, "topk").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return result.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -37,6 +37,60 @@ def test_bounds_hold():
     rng = np.random.default_rng(1)
     q, c = rng.integers(-9, 9, (5, 6)).astype(float), rng.integers(-9, 9, (50, 6)).astype(float)
     for depth in (1, 10, 50):
-        lower, upper = tk.bounds(q, c, tk.sorted_lists(c), depth)
+        lower, upper = tk.Lists(c).bounds(q, np.arange(50), depth)
         assert (lower <= q @ c.T).all() and (upper >= q @ c.T).all()
     assert (lower == upper).all()
+
+
+def skewed(rng, n, m):
+    """Few large components among many small ones, as in vectors of weights of words."""
+    return np.where(rng.random((n, m)) < 0.02, rng.integers(1000, 9000, (n, m)), rng.integers(0, 3, (n, m))).astype(float)
+
+
+def best(q, ids, c, k):
+    return sorted((-int(s), int(i)) for s, i in zip(c @ q, ids))[:k]
+
+
+def test_reads_a_part_of_skewed_lists_and_all_of_random_ones():
+    rng = np.random.default_rng(2)
+    ids, q_ids = np.arange(3000), np.arange(3000, 3008)
+    for q, c, least, most in (
+        (skewed(rng, 8, 24), skewed(rng, 3000, 24), 0, 0.6), (rng.integers(-64, 64, (8, 24)).astype(float), rng.integers(-64, 64, (3000, 24)).astype(float), 0.9, 1),
+    ):
+        read: dict = {}
+        got = tk.top_of_lot(q_ids, q, ids, c, 20, read)
+        for i, x in zip(q_ids, q):
+            rows = got[got.query_id == i]
+            assert [(-s, v) for s, v in zip(rows.score, rows.vec_id)] == best(x, ids, c, 20)
+        share = np.mean(list(read.values())) / c.size
+        assert least <= share <= most, share
+
+
+def test_candidates_that_left_are_not_read_again(monkeypatch):
+    """The product after the stop takes the rows of the candidates that are left, and of no other."""
+    rng = np.random.default_rng(3)
+    q, c = skewed(rng, 1, 24), skewed(rng, 3000, 24)
+    asked = []
+
+    class Spy(np.ndarray):
+        def __getitem__(self, key):
+            asked.append(key)
+            return np.asarray(super().__getitem__(key))
+
+    plain = tk.Lists.__init__
+
+    def spied(self, c):
+        plain(self, c)
+        self.c = self.c.view(Spy)
+
+    monkeypatch.setattr(tk.Lists, "__init__", spied)
+    read: dict = {}
+    tk.top_of_lot(np.array([-1]), q, np.arange(3000), c, 20, read)
+    assert read[-1] < c.size and len(asked[-1]) <= tk.FEW * 20
+
+
+def test_lots_keep_every_row(monkeypatch, spark):
+    monkeypatch.setattr(tk, "LISTED", 64)
+    rows = [(i, [float((i * 37) % 11), float(i % 7), 1.0][: 2 + i % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, tk.top_products(df).collect())) == brute(rows)
