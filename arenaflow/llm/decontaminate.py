@@ -9,11 +9,13 @@ against the stretch around the window verifies it.
 Only windows that can match are embedded, and no other is lost: with at most d edits one of d + 1 equal pieces of the item is
 unchanged, so the words of a piece must stand in the document at a place that fits the window.
 
-The items go to the tasks in blocks of bounded size (``block_chars`` characters), one pass over the documents for each block; a
-document never leaves its task and only matches are shuffled.
+The items go to the tasks in blocks of bounded size (``block_chars`` characters), one pass over the documents for each block; a block's
+matches are written before the next block is collected. A document never leaves its task and only matches are shuffled.
 
 Cases: null and blank texts match nothing; items without words are ignored; items of fewer than 1 / (1 - similarity) words must occur
-exactly; repeated items each give rows; repeated document rows give one row for an id and item, with the best match.
+exactly; repeated items each give rows; repeated document rows give one row for an id and item, with the best match. Ids may be of any
+type that a string can hold; documents with a null id are found as one with the id null, and ``without_leaks`` decides by the text, so that
+of rows with a null or repeated id only those that hold an item go.
 """
 
 from __future__ import annotations
@@ -26,12 +28,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arenaflow.llm.common import chunks, hashed
+from arenaflow.llm.common import chunks, hashed, written
 
 WORD = re.compile(r"\w+")
 #: Fixed parameters of the search: walks, keys of each walk, sampled places of each key. See tests/llm for the recall they give.
 WALKS, SAMPLES, BITS, SEED = 6, 8, 2, 11
-RESULT = "doc_id long, item_id long, distance int, item_words int, end_word int"
+#: Ids pass through the tasks as strings: numbers beside a null would become doubles.
+RESULT = "key string, item string, distance int, item_words int, end_word int"
+#: Leaked texts (64 bytes each) up to which they are broadcast; more are joined by a shuffle.
+SMALL = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -194,7 +199,7 @@ class Items:
 def searcher(items: Items):
     def search(batches):
         for b in batches:
-            texts, ids = b["text"].tolist(), b["doc_id"].tolist()
+            texts, ids = b["text"].tolist(), b["key"].tolist()
             rows = []
             for lo, hi in chunks(texts):
                 words = [words_of(t) for t in texts[lo:hi]]
@@ -205,34 +210,45 @@ def searcher(items: Items):
                     doc = np.repeat(np.arange(len(words)), sizes)
                     rows += [(ids[lo + d], items.rows[k][0], cost, len(items.rows[k][1]), end) for d, k, cost, end in items.matches(h, doc, starts)]
             if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "item_words", "end_word"])
+                yield pd.DataFrame(rows, columns=["key", "item", "distance", "item_words", "end_word"])
 
     return search
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int):
-    """Items in blocks whose texts have about ``block_chars`` characters; a block is what the driver holds."""
+    """Items in blocks whose texts have about ``block_chars`` characters, collected one after the other."""
     chars = benchmark.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     parts = chars // block_chars + 1
     for p in range(parts):
-        rows = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).select("item_id", "text").collect()
+        rows = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).select(F.col("item_id").cast("string"), "text").collect()
         if rows:
             yield [(r.item_id, r.text) for r in rows]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_chars: int = 4_000_000) -> DataFrame:
-    """doc_id, item_id, distance (word edits), item_words, end_word and similarity of every document with an item in it."""
-    own = docs.select("doc_id", "text").filter("text is not null")
-    out = None
+def matches_of(texts: DataFrame, benchmark: DataFrame, similarity: float, block_chars: int) -> DataFrame:
+    """key, item, distance, item_words, end_word of every row of key (string) and text with an item in it."""
+    own, out = texts.filter("text is not null"), None
     for rows in item_blocks(benchmark, block_chars):
-        found = own.mapInPandas(searcher(Items(rows, similarity)), RESULT)
+        found = written(own.mapInPandas(searcher(Items(rows, similarity)), RESULT), "leaks")
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], RESULT)
-    best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "item_words", "end_word")).alias("b")).select("doc_id", "item_id", "b.*")
-    return best.withColumn("similarity", 1 - F.col("distance") / F.col("item_words"))
+    return texts.sparkSession.createDataFrame([], RESULT) if out is None else out
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_chars: int = 4_000_000) -> DataFrame:
+    """doc_id, item_id, distance (word edits), item_words, end_word and similarity of every document with an item in it."""
+    found = matches_of(docs.select(F.col("doc_id").cast("string").alias("key"), "text"), benchmark, similarity, block_chars)
+    best = found.groupBy("key", "item").agg(F.min(F.struct("distance", "item_words", "end_word")).alias("b"))
+    return best.select(
+        F.col("key").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("item").cast(benchmark.schema["item_id"].dataType).alias("item_id"), "b.*",
+        (1 - F.col("b.distance") / F.col("b.item_words")).alias("similarity"),
+    )
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_chars: int = 4_000_000) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    return docs.join(find_leaks(docs, benchmark, similarity).select("doc_id").distinct(), "doc_id", "left_anti")
+    of_text = F.sha2("text", 256)
+    found = matches_of(docs.select(of_text.alias("key"), "text"), benchmark, similarity, block_chars).select("key").distinct()
+    found = written(found, "leaked")
+    if found.count() <= SMALL:
+        found = F.broadcast(found)
+    return docs.join(found, of_text == found["key"], "left_anti")

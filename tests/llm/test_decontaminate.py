@@ -25,7 +25,10 @@ def test_recall_against_brute_force(spark):
         words = rng.choices(vocabulary, k=rng.randint(5, 200))
         if d % 2:
             _, item = items[rng.randrange(60)]
-            part = [w if rng.random() > rng.choice([0, 0.05, 0.1, 0.15]) else rng.choice(vocabulary) for w in item.split()]
+            share, part = rng.choice([0, 0.05, 0.1, 0.15]), []
+            for w in item.split():
+                other = rng.choice(vocabulary)
+                part += [w] if rng.random() > share else rng.choice([[other], [], [w, other], [other, w]])
             at = rng.randint(0, len(words))
             words[at:at] = part
         docs.append((d, ", ".join(words).title() if d % 3 else " ".join(words)))
@@ -49,6 +52,20 @@ def test_recall_against_brute_force(spark):
     assert dc.find_leaks(df.filter("false"), bench).count() == 0 and dc.find_leaks(df, bench.filter("false")).count() == 0
 
 
+def test_ids_of_any_kind(spark):
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(None, item), (2**53 + 1, item + " eleven")], "item_id long, text string")
+    rows = [(2**53 + 1, f"x {item} eleven y"), (None, "clean"), (None, f"a {item} b"), (-5, item), (-5, "clean too"), (2**53, "also clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, bench).collect()}
+    assert got == {(i, k) for i in (2**53 + 1, None, -5) for k in (None, 2**53 + 1)}
+    kept = sorted(((r.doc_id, r.text) for r in dc.without_leaks(docs, bench).collect()), key=str)
+    assert kept == sorted([(None, "clean"), (-5, "clean too"), (2**53, "also clean")], key=str)
+    named = spark.createDataFrame([("a", item), (None, "clean")], "doc_id string, text string")
+    assert [(r.doc_id, r.distance) for r in dc.find_leaks(named, bench.limit(1)).collect()] == [("a", 0)]
+    assert dc.find_leaks(named, bench).schema["doc_id"].dataType.simpleString() == "string"
+
+
 def test_alignment_equals_the_full_table():
     rng = random.Random(1)
     items = [[rng.choice("abcd") for _ in range(rng.randint(1, 12))] for _ in range(50)]
