@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from arenaflow.llm import pii
 
@@ -57,6 +58,28 @@ def test_method_adds_checked_and_contextual_kinds(spark):
     assert rows["SSN 123-45-6789"] == "ssn:4:15" and rows["the number 123-45-6789"] == ""
 
 
+def test_iban_before_other_words(spark):
+    texts = ["DE89 3704 0044 0532 0130 00 Please", "pay BE68 5390 0754 7034 Now 12", "DE89370400440532013000 A1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("iban")] for r in pii.summary(docs).collect()}
+    assert got == {0: ["iban:0:27"], 1: ["iban:4:23"], 2: ["iban:0:22"]}
+
+
+def test_cost_grows_with_the_number_of_spans(spark):
+    """Sixteen thousand spans in one text, with astral characters between them; a quadratic way takes minutes."""
+    parts = ["é😀 mail a.b@c.org, host 10.0.0.7 é", "123-45-6789 ssn, 4041894974608795 😀", "call +49 30 901820 now 1.2.3"]
+    text = " ".join(parts[i % 3] for i in range(12_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begin = time.time()
+    row = pii.summary(docs).first()
+    want = brute(text)
+    line = ",".join(f"{kind}:{s}:{e}" for s, _, kind, e in want)
+    assert len(want) >= 16_000 and row.base_sha256 == hashlib.sha256(line.encode()).hexdigest() and row.spans.count("ssn") == 4000
+    clean = pii.redact(docs).first().text
+    assert "@" not in clean and clean.count("[EMAIL]") == 4000 and clean.endswith("call [PHONE] now 1.2.3")
+    assert time.time() - begin < 90
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail a.b@c.org, é 1.2.3.4!", 7), (2, None, 7), (3, "clean", 7), (4, "call +378282246310005 x", 7)], "doc_id long, text string, extra int")
     got = {r.doc_id: r for r in pii.redact(docs).collect()}
