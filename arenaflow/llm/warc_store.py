@@ -31,18 +31,17 @@ def packed(payload: pd.Series) -> pd.Series:
     return payload.map(z.compress)
 
 
-def restored(blob: pd.Series) -> pd.DataFrame:
-    z = zstandard.ZstdDecompressor()
-    raw = [z.decompress(b) for b in blob]
-    return pd.DataFrame({"bytes": [len(r) for r in raw], "sha256": [hashlib.sha256(r).hexdigest() for r in raw], "payload": raw})
-
-
 def verified(blob: pd.Series) -> pd.DataFrame:
     z = zstandard.ZstdDecompressor()
     raw = map(z.decompress, blob)
     return pd.DataFrame([(len(r), hashlib.sha256(r).hexdigest()) for r in raw], columns=["bytes", "sha256"])
 
 
+def restored(blob: pd.Series) -> pd.Series:
+    z = zstandard.ZstdDecompressor()
+    return blob.map(z.decompress)
+
+
 def record_id(page_id: Column) -> Column:
     h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit(""))))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
@@ -99,17 +98,17 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST) -> None:
 
 def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """A row for each record: page_id, payload_bytes, payload_digest, record_type, refers_to, header, and with ``with_payload`` the
-    payload and the record's exact bytes. Every restored payload is hashed again; a wrong one raises."""
-    facts = "bytes long, sha256 string"
-    restore = F.pandas_udf(restored, f"{facts}, payload binary") if with_payload else F.pandas_udf(verified, facts)
-    joined = spark.read.parquet(f"{path}/headers").join(spark.read.parquet(f"{path}/payloads"), "digest").withColumn("r", restore("blob"))
+    payload and the record's exact bytes. Every restored payload is hashed again, once for all records that have it; a wrong one raises."""
+    stored = spark.read.parquet(f"{path}/payloads").withColumn("r", F.pandas_udf(verified, "bytes long, sha256 string")("blob"))
+    stored = stored.select("digest", "r.*", *(["blob"] if with_payload else []))
+    joined = spark.read.parquet(f"{path}/headers").join(stored, "digest")
     kind = field("WARC-Type")
     out = joined.select(
-        "page_id", F.col("r.bytes").alias("payload_bytes"),
-        F.when(F.col("r.sha256") == field("WARC-Payload-Digest").substr(8, 64), F.col("r.sha256"))
+        "page_id", F.col("bytes").alias("payload_bytes"),
+        F.when(F.col("sha256") == field("WARC-Payload-Digest").substr(8, 64), F.col("sha256"))
         .otherwise(F.raise_error(F.concat(F.lit("wrong payload for "), F.col("digest")))).alias("payload_digest"),
         kind.alias("record_type"), F.when(kind == "revisit", field("X-Refers-To-Page").cast("long")).alias("refers_to"), "header",
-        *([F.col("r.payload")] if with_payload else []),
+        *([F.pandas_udf(restored, "binary")("blob").alias("payload")] if with_payload else []),
     )
     if not with_payload:
         return out
