@@ -72,9 +72,10 @@ def op6(rules=url_filter.RULES, damping=url_filter.DAMPING, rounds=url_filter.RO
     )
     steps = []
     for i in range(rounds):
-        steps.append(f"""r{i + 1} AS (SELECT kind, host, sum(score) AS score FROM (
-          SELECT kind, host, score * {1 - damping} AS score FROM r0 UNION ALL
-          SELECT f.kind, f.dst, s.score * f.share * {damping} FROM flow f JOIN r{i} s ON s.kind = f.kind AND s.host = f.src) GROUP BY kind, host)""")
+        steps.append(f"""m{i} AS (SELECT f.kind, f.dst AS host, s.score * f.share * {damping} AS score FROM flow f JOIN r{i} s ON s.kind = f.kind AND s.host = f.src),
+        r{i + 1} AS (SELECT kind, host, sum(score) AS score FROM (
+          SELECT z.kind, z.host, z.score * (1 - coalesce(t.went, 0)) AS score FROM r0 z LEFT JOIN (SELECT kind, sum(score) AS went FROM m{i} GROUP BY kind) t ON t.kind = z.kind
+          UNION ALL SELECT kind, host, score FROM m{i}) GROUP BY kind, host)""")
     return f"""
     WITH p AS (SELECT page_id, html, {host("url")} AS host, regexp_extract({split("url")}, '^[^/?#]*([^?#]*)', 1) AS path FROM pages),
     j AS (SELECT *, CASE {when(lambda r: r[1] + r[2])} END AS rule, CASE {when(lambda r: r[0])} END AS by_rule FROM p),

@@ -6,7 +6,7 @@ allow rule's page and flows along the links; distrust starts at hosts most of wh
 over distinct host edges. A host is blocked if its distrust exceeds its trust and ``least`` times the mean score of a host.
 
 Cases: a null url or one without ``://`` has an empty host and path, no rule and the verdict allow; null html has no links; repeated
-rows each give a row; of rules that fit, the longest wins; dangling hosts pass nothing on.
+rows each give a row; of rules that fit, the longest wins; the weight of hosts without links returns to the seeds.
 """
 
 from __future__ import annotations
@@ -82,12 +82,13 @@ def host_scores(judged: DataFrame, edges: DataFrame, damping: float = DAMPING, r
     back = edges.join(edges.groupBy("dst").agg(F.sum("n").alias("of")), "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("of")).alias("share"))
     flow = written(forth.unionByName(back), "flow")
     state = seeds
-    restart = seeds.withColumn("score", F.col("score") * (1 - damping))
-    for i in range(rounds):
+    for _ in range(rounds):
         moved = flow.join(state, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+        moved = written(moved.groupBy("kind", "host").agg(F.sum("score").alias("score")), "moved")
+        went = F.broadcast(moved.groupBy("kind").agg(F.sum("score").alias("went")))  # two rows
+        # what the walk doesn't carry on, from damping and from hosts without links, starts anew at the seeds
+        restart = seeds.join(went, "kind", "left").select("kind", "host", (F.col("score") * (1 - F.coalesce("went", F.lit(0.0)))).alias("score"))
         state = restart.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if i % 5 == 4:
-            state = written(state, "ranks")
     sums = [F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")]
     return state.groupBy("host").agg(*sums)
 

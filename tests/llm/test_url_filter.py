@@ -22,11 +22,12 @@ def scores(edges, seeds, rounds=10, d=0.85):
         out[a] = out.get(a, 0) + n
     r = dict(seeds)
     for _ in range(rounds):
-        new = {h: (1 - d) * s for h, s in seeds.items()}
+        new = {}
         for a, b, n in edges:
             if a in r:
                 new[b] = new.get(b, 0) + d * r[a] * n / out[a]
-        r = new
+        lost = 1 - sum(new.values())
+        r = {h: new.get(h, 0) + lost * seeds.get(h, 0) for h in new.keys() | seeds.keys()}
     return r
 
 
@@ -37,6 +38,7 @@ def test_propagation_equals_plain_page_rank(spark):
     e = [tuple(r) for r in edges.collect()]
     assert sorted(e) == [("farm.example", "bad.example", 4), ("farm2.example", "sub.bad.example", 1), ("good.example", "friend.example", 1)]
     got = {r.host: r for r in uf.host_scores(judged.select("host", "by_rule"), edges).collect()}
+    assert abs(sum(r.trust for r in got.values()) - 1) < 1e-9 and abs(sum(r.distrust for r in got.values()) - 1) < 1e-9
     bad = {"bad.example": 0.5, "sub.bad.example": 0.5}
     for host, s in scores([(b, a, n) for a, b, n in e], bad).items():
         assert abs(got[host].distrust - s) < 1e-12
