@@ -48,8 +48,8 @@ CLASSES, SMALL = 64, 1_000_000
 SHORT = 600
 #: Words whose hashes a batch of pairs keeps.
 KEPT = 4_000_000
-#: Members of a bucket in one block when all its pairs are made; pairs of a text that the first round of verifying takes (then GROWTH times as many).
-BLOCK, FIRST_ROUND, GROWTH = 256, 8, 64
+#: Members of a bucket in one block when all its pairs are made; pairs of a text that the first round of verifying takes.
+BLOCK, FIRST_ROUND = 256, 8
 #: Members outside the largest class up to which a bucket's pairs are made directly; words whose frequency every task knows.
 OUTSIDERS, FREQUENT = 16, 50_000
 #: Keys with more than this part of a table's rows are joined by broadcast.
@@ -402,10 +402,8 @@ def settled(state: DataFrame, pairs: DataFrame, texts: DataFrame, first: int = F
     that classes grow before the many are looked at."""
     place = F.row_number().over(W.partitionBy("b").orderBy(F.desc("n"), "a"))
     pairs = written(pairs.select("a", "b", place.alias("place")), "placed")
-    last, done, most = pairs.agg(F.max("place")).first()[0] or 0, 0, first
-    while done < last:
-        state = merged(state, written(verified(apart(pairs.filter(F.col("place").between(done + 1, most)), state), texts), "more"))
-        done, most = most, most * GROWTH
+    for which in (F.col("place") <= first, F.col("place") > first):
+        state = merged(state, written(verified(apart(pairs.filter(which), state), texts), "more"))
     return state
 
 
