@@ -23,9 +23,10 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], start: str
 
 
 def asof_next(rows: DataFrame, keys: list[str], at: str, hit: Column, values: list[str], tie: str) -> DataFrame:
-    """For each row the next later row of the same keys for which ``hit`` holds, as columns next_*; one sort, no join."""
-    w = W.partitionBy(*keys).orderBy(at, tie).rowsBetween(1, W.unboundedFollowing)
-    found = F.first(F.when(hit, F.struct(at, *values)), ignorenulls=True).over(w)
+    """For each row the next later row of the same keys for which ``hit`` holds, as columns next_*; one sort, no join. Rows are read from
+    the last to the first, so that a key's frame only grows and costs as much as its rows."""
+    w = W.partitionBy(*keys).orderBy(F.desc(at), F.desc(tie)).rowsBetween(W.unboundedPreceding, -1)
+    found = F.last(F.when(hit, F.struct(at, *values)), ignorenulls=True).over(w)
     return rows.withColumn("__n", found).select("*", *[F.col(f"__n.{x}").alias(f"next_{x}") for x in (at, *values)]).drop("__n")
 
 

@@ -22,8 +22,8 @@ def rising_edges(rows: DataFrame, keys: list[str], at: str, condition: Column) -
 
 
 def time_to_next(rows: DataFrame, keys: list[str], at: Column, order: str, condition: Column) -> Column:
-    """Time of the next row (this one included) for which the condition holds."""
-    return F.min(F.when(condition, at)).over(W.partitionBy(*keys).orderBy(order).rowsBetween(0, W.unboundedFollowing))
+    """Time of the next row (this one included) for which the condition holds; read backwards, so that the frame only grows."""
+    return F.min(F.when(condition, at)).over(W.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0))
 
 
 def first_to(rows: DataFrame, keys: list[str], order: list[str], side: str, target: int) -> DataFrame:
@@ -52,8 +52,10 @@ def opening_runs(rows: DataFrame, keys: list[str], order: list[str], died: str,
     return rows.withColumn("__d", deaths).filter("__d = 0").groupBy(*keys).agg(F.count("*").alias("steps"), *measures)
 
 
-def padded_top(own: DataFrame, pool: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
-    """The best n rows of each key, filled up from the pool where its own are fewer."""
+def padded_top(own: DataFrame, pool: DataFrame, key: str, ids: list[str], order: list[Column], n: int) -> DataFrame:
+    """The best n rows of each key, filled up from the pool where its own are fewer; rows of the pool that the key has itself (by ``ids``) don't
+    come again."""
+    pool = pool.join(own.select(key, *ids).distinct(), [key, *ids], "left_anti").select(*pool.columns)
     both = own.withColumn("padded", F.lit(0)).unionByName(pool.withColumn("padded", F.lit(1)))
     return both.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("padded", *order))).filter(F.col("place") <= n)
 

@@ -148,3 +148,18 @@ def html_fields(t: Tables):
     count = lambda tag: F.regexp_count("html", F.lit(tag)).cast("long")
     title = F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
     return t.pages.select("page_id", title.alias("title"), count("<p>").alias("paragraphs"), count("<a ").alias("links"), F.regexp_extract("html", "([0-9]+)", 1).try_cast("long").alias("first_number"))
+
+
+@query("""
+SELECT c_custkey AS custkey, lower(c_name) AS norm,
+ CASE c_custkey % 3 WHEN 1 THEN '(' || c_name || ')' WHEN 0 THEN 'au.' || c_name ELSE c_name END AS display,
+ '-=\\1[' || CASE c_custkey % 3 WHEN 0 THEN 'au.' WHEN 1 THEN '(' ELSE '' END || c_name || CASE WHEN c_custkey % 3 = 1 THEN ')' ELSE ' \\5_' END AS stored
+FROM customer
+""")
+def name_forms(t: Tables):
+    """The stored, the canonical and the shown form of decorated names."""
+    kind = F.col("c_custkey") % 3
+    front = F.when(kind == 0, "au.").when(kind == 1, "(").otherwise("")
+    raw = F.concat(F.lit("-=\x10"), front, F.col("c_name"), F.when(kind == 1, ")").otherwise(" \xdf"))
+    named = t.customer.select(F.col("c_custkey").alias("custkey"), raw.alias("raw"))
+    return named.select("custkey", N.normalised("raw").alias("norm"), N.for_display("raw").alias("display"), N.escaped("raw").alias("stored"))

@@ -123,19 +123,24 @@ def or_side_join(t: Tables):
     return n.join(t.supplier.select(F.col("s_suppkey").alias("suppkey")), "suppkey", "left_semi")
 
 
-@query(r"SELECT page_id, list_extract(string_split(url, '/'), -1) AS base FROM pages")
+@query(r"""
+WITH p AS (SELECT page_id, list_extract(string_split(url, '/'), -1) AS base FROM pages)
+SELECT page_id, base, first, n FROM p JOIN (SELECT base, min(page_id) AS first, count(*) AS n FROM p GROUP BY 1) USING (base)
+""")
 def basename_join(t: Tables):
-    return t.pages.select("page_id", N.basename("url").alias("base"))
+    """Every page beside the first of those whose url ends in the same file name."""
+    p = t.pages.select("page_id", N.basename("url").alias("base"))
+    return p.join(p.groupBy("base").agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "base").select("page_id", "base", "first", "n")
 
 
 @query("""
-WITH p AS (SELECT l_suppkey AS s, c_nationkey % 5 AS r, avg(l_extendedprice) AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_custkey < 200 GROUP BY 1, 2)
+WITH p AS (SELECT l_suppkey AS s, c_nationkey % 5 AS r, avg(l_extendedprice) AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)
 SELECT s_suppkey AS suppkey, r_regionkey AS regionkey, round(coalesce(v, 1000.0 + 10 * abs(s_nationkey - r_regionkey)), 4) AS price, v IS NULL AS estimated
 FROM supplier CROSS JOIN region LEFT JOIN p ON s = s_suppkey AND r = r_regionkey
 """)
 def cross_fallback(t: Tables):
-    """``cross_fallback_all`` with real values of the first customers only, as its SQL twin says."""
-    return _cross_fallback(t, t.orders.filter("o_custkey < 200"))
+    """Every participant with every region: the real price where there is one, else an estimate."""
+    return _cross_fallback(t, t.orders)
 
 
 @query("""
@@ -268,23 +273,21 @@ def angles_and_distances(t: Tables):
     )
 
 
-@query("""
-WITH n AS (SELECT p_partkey AS k, p_name AS name FROM part WHERE p_partkey <= 400)
-SELECT a.k AS a, b.k AS b, CAST(levenshtein(a.name, b.name) AS INTEGER) AS d FROM n a JOIN n b ON a.k < b.k AND substr(a.name, 1, 4) = substr(b.name, 1, 4) AND abs(length(a.name) - length(b.name)) <= 1 AND levenshtein(a.name, b.name) <= 1
-""")
-def fuzzy_levenshtein(t: Tables):
-    """Close names within blocks of a common prefix, with a length band before the distance."""
-    n = t.part.filter("p_partkey <= 400").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.substring("p_name", 1, 4).alias("block"))
-    a, b = n.select(F.col("k").alias("a"), F.col("name").alias("x"), "block"), n.select(F.col("k").alias("b"), F.col("name").alias("y"), "block")
-    j = a.join(b, "block").filter("a < b and abs(length(x) - length(y)) <= 1")
-    return j.select("a", "b", F.levenshtein("x", "y").alias("d")).filter("d <= 1")
-
-
-@query("""
+#: Close names, in SQL.
+CLOSE_NAMES = """
 WITH n AS (SELECT p_name AS name, count(*) AS n, min(p_partkey) AS k FROM part WHERE p_name IS NOT NULL GROUP BY 1)
 SELECT a.k AS a, b.k AS b, a.n AS n_a, b.n AS n_b, 1 AS d FROM n a JOIN n b ON a.name < b.name AND abs(length(a.name) - length(b.name)) <= 1 AND levenshtein(a.name, b.name) = 1
 UNION ALL SELECT k, k, n, n, 0 FROM n WHERE n > 1
-""")
+"""
+
+
+@query(CLOSE_NAMES)
+def fuzzy_levenshtein(t: Tables):
+    """Close names of all parts, as ``fuzzy_levenshtein_all``, under the name of the operator."""
+    return fuzzy_levenshtein_all(t)
+
+
+@query(CLOSE_NAMES)
 def fuzzy_levenshtein_all(t: Tables):
     """Close names of the whole table: pairs of different names one edit apart (by the first part of each, with the number of parts), and
     names that several parts have, with themselves. One edit apart means a common text with at most one letter deleted, so such variants block exactly."""

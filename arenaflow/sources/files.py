@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import tarfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,21 +54,30 @@ def matches_and_players(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return matches, firsts.select("match_id", "player_name", *cols)
 
 
+def readable(content: bytes, suffix: str = ".json"):
+    """Names and texts of an archive's JSON members; a broken archive ends at the place where it breaks, a broken member is left out."""
+    try:
+        with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
+            for m in tar:
+                if m.isfile() and m.name.endswith(suffix):
+                    text = tar.extractfile(m).read().decode("utf-8", "replace")
+                    try:
+                        json.loads(text)
+                    except ValueError:
+                        continue
+                    yield m.name, text
+    except (tarfile.TarError, EOFError, OSError, zlib.error):
+        return
+
+
 def archive_members(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
     """archive, member, text of every readable JSON member of ``.tar.gz`` files; an archive is read member by member in its task."""
 
     def members(batches):
         for b in batches:
             for name, content in zip(b["path"], b["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    for m in tar:
-                        if m.isfile() and m.name.endswith(suffix):
-                            text = tar.extractfile(m).read().decode("utf-8", "replace")
-                            try:
-                                json.loads(text)
-                            except ValueError:
-                                continue
-                            yield pd.DataFrame({"archive": [name], "member": [m.name], "text": [text]})
+                for member, text in readable(content, suffix):
+                    yield pd.DataFrame({"archive": [name], "member": [member], "text": [text]})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(members, "archive string, member string, text string")
