@@ -7,9 +7,9 @@ get SHORT_SKETCHES more functions over runs of SHORT_RUN words.
 
 Different texts that share a sketch are compared with the smallest and the largest of the bucket first (a star, linear in the bucket's
 size). The candidate with which a text shares most sketches is verified first; the others only where the classes found so far don't
-connect them already. Every pair that shares a sketch and is still in different classes then has its turn: directly where a bucket
-has at most OUTSIDERS members outside its largest class, else by a join that loses no similar pair and doesn't grow with the
-square of the bucket: texts within d edits share one of their d + 1 rarest words (each word labelled with its occurrence number, rarity
+connect them already. Every pair that shares a sketch and is still in different classes then has its turn, a text with a whole class at a
+time: directly where a bucket has at most OUTSIDERS members outside its largest class, else by a join that loses no similar pair and doesn't
+grow with the square of the bucket: texts within d edits share RARE of their d + RARE rarest words (each word labelled with its occurrence number, rarity
 being one order for all texts), so the texts of such buckets meet by those words. Two texts are linked if their word edit
 similarity, 1 - edits / longer length, is at least 0.8; the alignment fills only the diagonals that the allowed edits reach.
 Classes are the connected components of the links, and exact copies (equal word sequences) share a class by their digest before any search.
@@ -43,15 +43,18 @@ RUN, SKETCHES, PICKED, SIMILARITY, SEED = 5, 80, 2, 0.8, 5
 FEW, SHORT_RUN, SHORT_SKETCHES = 50, 2, 32
 SKETCHED = "digest string, words int, profile binary, sketches array<long>"
 #: Classes of words in a document's profile, and how many ids may be broadcast (16 bytes each).
-CLASSES, SMALL = 64, 1_000_000
+CLASSES, SMALL = 256, 1_000_000
 #: Texts up to so many words are aligned with bits of integers: faster there where the edits are many.
 SHORT = 600
 #: Words whose hashes a batch of pairs keeps.
 KEPT = 4_000_000
-#: Members of a bucket in one block when all its pairs are made; pairs of a text that the first round of verifying takes.
-BLOCK, FIRST_ROUND = 256, 8
-#: Members outside the largest class up to which a bucket's pairs are made directly; words whose frequency every task knows.
+#: Texts in each side of a block whose profiles are compared; pairs of a text that the first round of verifying takes.
+BLOCK, FIRST_ROUND = 1024, 8
+#: Members outside its largest class up to which a bucket's classes meet directly (and members of a class that is joined row by row); words
+#: whose frequency every task knows.
 OUTSIDERS, FREQUENT = 16, 50_000
+#: Rare words that two similar texts must share; different texts of fewer than five words can't be similar, and others share as many.
+RARE = 2
 #: Keys with more than this part of a table's rows are joined by broadcast.
 HEAVY = 1000
 
@@ -126,7 +129,7 @@ def sketched(texts: pd.Series) -> pd.DataFrame:
 
 def profile(words: np.ndarray) -> bytes:
     """How many words fall in each of CLASSES classes."""
-    return np.bincount(words >> np.uint64(58), minlength=CLASSES).astype("<u4").tobytes()
+    return np.bincount(words >> np.uint64(56), minlength=CLASSES).astype("<u4").tobytes()
 
 
 def may_be_similar(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -316,22 +319,50 @@ def class_sizes(member: DataFrame) -> DataFrame:
     )
 
 
-def met(member: DataFrame, sizes: DataFrame) -> DataFrame:
-    """a, b, n: pairs of ``member`` (id, words, root, key) in different classes that share n keys and whose lengths allow the similarity.
-    Members of a key's largest class meet the others only, and the others everyone, in blocks of both."""
-    rows = member.join(
-        sizes.select("key", "major", F.ceil(F.col("members") / BLOCK).alias("all_blocks"), F.ceil(F.col("outsiders") / BLOCK).alias("minor_blocks")), "key"
-    ).withColumn("h", F.xxhash64("id"))
-    minor = rows.filter("root <> major").selectExpr(
-        "key", "id as x", "words as x_words", "root as x_root", "pmod(h, minor_blocks) as p", "explode(sequence(0L, all_blocks - 1)) as q")
-    every = rows.selectExpr(
-        "key", "id as y", "words as y_words", "root as y_root", "root = major as is_major", "pmod(h, all_blocks) as q", "explode(sequence(0L, minor_blocks - 1)) as p")
+def touched(member: DataFrame, sizes: DataFrame, least: int = 1) -> DataFrame:
+    """x, root: texts and the other classes with texts that share ``least`` keys with them and may be as long. ``member`` is id, words, root, key;
+    of a key the texts of its largest class ask for no other, and of two smaller classes one asks for the other."""
+    outside = member.join(sizes.select("key", "major"), "key").filter("root <> major").select("key", "major", F.col("id").alias("x"), F.col("words").alias("n"), F.col("root").alias("x_root"))
+    there = member.groupBy("key", "root").agg(F.min("words").alias("shortest"), F.max("words").alias("longest"))
     fits = (
-        (F.col("x_root") != F.col("y_root")) & (F.col("is_major") | (F.col("x") < F.col("y")))
-        & (F.least("x_words", "y_words") >= SIMILARITY * F.greatest("x_words", "y_words") - 1e-9)
+        (F.col("x_root") != F.col("root")) & ((F.col("root") == F.col("major")) | (F.col("x_root") < F.col("root")))
+        & (F.col("n") >= SIMILARITY * F.col("shortest") - 1e-9) & (F.col("longest") >= SIMILARITY * F.col("n") - 1e-9)
     )
-    pairs = minor.join(every.hint("merge"), ["key", "p", "q"]).filter(fits)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return outside.join(there, "key").filter(fits).groupBy("x", "root").agg(F.count("*").alias("keys")).filter(F.col("keys") >= least).select("x", "root")
+
+
+def similar_profiles(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """a, b, n of the pairs of a text of ``left`` and one of ``right`` whose lengths and profiles don't rule the similarity out; n: how many
+    words in a hundred may be equal."""
+    mine, theirs = (np.frombuffer(b"".join(side["profile"]), "<u4").reshape(len(side), CLASSES).astype(np.int32) for side in (left, right))
+    x, y, words = left["id"].to_numpy(), right["id"].to_numpy(), right["words"].to_numpy()
+    out = [np.empty((3, 0), np.int64)]
+    for i in range(len(left)):
+        longer = np.maximum(left["words"].iat[i], words)
+        equal = np.minimum(mine[i], theirs).sum(axis=1)
+        at = np.flatnonzero(longer - equal <= (1 - SIMILARITY) * longer + 1e-9)
+        out.append(np.stack([np.minimum(x[i], y[at]), np.maximum(x[i], y[at]), 100 * equal[at] // longer[at]]))
+    return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["a", "b", "n"])
+
+
+def with_members(asked: DataFrame, state: DataFrame, unique: DataFrame) -> DataFrame:
+    """a, b, n: the texts of ``asked`` (x, root) with the members of those classes, as far as lengths and profiles allow the similarity.
+    Classes of a few members are joined; larger ones are compared in blocks of BLOCK by BLOCK that make rows of what is left only."""
+    facts = unique.select("id", "words", "profile")
+    many = asked.groupBy("root").agg(F.count("*").alias("askers"))
+    sizes = written(state.groupBy("root").agg(F.count("*").alias("members")).join(many, "root"), "classes")
+    low, high = F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")
+    few = sizes.filter(F.col("members") <= OUTSIDERS).select("root")
+    pairs = asked.join(few, "root", "left_semi").join(state, "root").select(low, high).distinct().withColumn("n", F.lit(100))
+    large = sizes.filter(F.col("members") > OUTSIDERS).select("root", F.ceil(F.col("askers") / BLOCK).alias("ps"), F.ceil(F.col("members") / BLOCK).alias("qs"))
+    x = asked.select(F.col("x").alias("id"), "root").join(large, "root").join(facts, "id").selectExpr(
+        "root", "pmod(xxhash64(id), ps) as p", "explode(sequence(0L, qs - 1)) as q", "id", "words", "profile")
+    y = state.join(large, "root").join(facts, "id").selectExpr(
+        "root", "explode(sequence(0L, ps - 1)) as p", "pmod(xxhash64(id), qs) as q", "id", "words", "profile")
+    by = ["root", "p", "q"]
+    x, y = written(x, "askers"), written(y, "members")
+    blocks = x.groupBy(*by).cogroup(y.groupBy(*by)).applyInPandas(similar_profiles, "a long, b long, n long")
+    return profiled(pairs, unique).unionByName(blocks.distinct()).groupBy("a", "b").agg(F.max("n").alias("n"))
 
 
 def word_labels(text: str) -> np.ndarray:
@@ -344,14 +375,14 @@ def labels_of(texts: pd.Series) -> pd.Series:
 
 
 def rarest(known: np.ndarray, text: str) -> np.ndarray:
-    """The d + 1 rarest labelled words of a text that allows d edits; ``known``: the frequent ones, most frequent last. A partner
+    """The d + RARE rarest labelled words of a text that allows d edits; ``known``: the frequent ones, most frequent last. A partner
     within d edits has all but d of the text's labels (a longer one allows more edits by as many words as it is longer, at least),
-    and so the rarest label that both have is among the first d + 1 of either."""
+    and so the RARE rarest labels that both have are among the first d + RARE of either."""
     labels = word_labels(text)
     order = np.argsort(known, kind="stable")
     at = np.minimum(np.searchsorted(known, labels, sorter=order), max(len(known) - 1, 0))
     place = np.where(known[order[at]] == labels, order[at] + 1, 0) if len(known) else np.zeros(len(labels), int)
-    first = np.lexsort((labels, place))[: int((1 - SIMILARITY) * len(labels) + 1e-9) + 1]
+    first = np.lexsort((labels, place))[: int((1 - SIMILARITY) * len(labels) + 1e-9) + RARE]
     return labels[first].view(np.int64)
 
 
@@ -366,20 +397,21 @@ def by_rare_words(open_texts: DataFrame) -> DataFrame:
 
 
 def remaining(shared: DataFrame, unique: DataFrame, state: DataFrame, tried: DataFrame, base: DataFrame) -> DataFrame:
-    """a, b, n: all pairs that share sketches (n, or n rare words), are in different classes of ``state`` and aren't in ``tried``, without
-    those whose lengths or profiles rule the similarity out."""
+    """a, b, n: all pairs that share a sketch, are in different classes of ``state`` and aren't in ``tried``, without those whose lengths or
+    profiles rule the similarity out (and some more pairs: a text meets all members of a class in which one shares a key with it)."""
     member = shared.select("id", "words", "key").join(state, "id")
     several = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     member = written(member.join(several, "key", "left_semi"), "open")
     sizes = written(class_sizes(member), "sizes")
     few, many = sizes.filter(F.col("outsiders") <= OUTSIDERS), sizes.filter(F.col("outsiders") > OUTSIDERS)
-    pairs = met(member, few)
+    asked = touched(member, few)
     if many.limit(1).count():
         crowded = written(member.join(many, "key", "left_semi").select("id", "words", "root").distinct(), "crowded")
         rare = by_rare_words(texts_of(base, crowded.select("id"), unique))
         member = written(rare.join(crowded, "id").select("id", "words", "root", "key"), "rare")
-        pairs = pairs.unionByName(met(member, class_sizes(member).filter("outsiders > 0"))).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return profiled(pairs.join(tried, ["a", "b"], "left_anti"), unique)
+        asked = asked.union(touched(member, class_sizes(member).filter("outsiders > 0"), RARE)).distinct()
+    pairs = with_members(written(asked, "asked"), state, unique)
+    return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def apart(pairs: DataFrame, state: DataFrame) -> DataFrame:
