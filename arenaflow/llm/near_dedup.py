@@ -10,7 +10,8 @@ size). The candidate with which a text shares most sketches is verified first; t
 connect them already. Every pair that shares a sketch and is still in different classes then has its turn, a text with a whole class at a
 time: directly where a bucket has at most OUTSIDERS members outside its largest class, else by a join that loses no similar pair and doesn't
 grow with the square of the bucket: texts within d edits share RARE of their d + RARE rarest words (each word labelled with its occurrence number, rarity
-being one order for all texts), so the texts of such buckets meet by those words. Two texts are linked if their word edit
+being one order for all texts), so the texts of such buckets meet by those words, unless a signature of the words rules the similarity out. A
+text and a large class are compared where both are, block by block, until one similar member is found. Two texts are linked if their word edit
 similarity, 1 - edits / longer length, is at least 0.8; the alignment fills only the diagonals that the allowed edits reach.
 Classes are the connected components of the links, and exact copies (equal word sequences) share a class by their digest before any search.
 
@@ -48,13 +49,15 @@ CLASSES, SMALL = 256, 1_000_000
 SHORT = 600
 #: Words whose hashes a batch of pairs keeps.
 KEPT = 4_000_000
-#: Texts in each side of a block whose profiles are compared; pairs of a text that the first round of verifying takes.
-BLOCK, FIRST_ROUND = 1024, 8
+#: Texts and words in each side of a block of texts and members; pairs of a text that the first round of verifying takes.
+BLOCK, BLOCK_WORDS, FIRST_ROUND = 1024, 1_000_000, 8
 #: Members outside its largest class up to which a bucket's classes meet directly (and members of a class that is joined row by row); words
 #: whose frequency every task knows.
 OUTSIDERS, FREQUENT = 16, 50_000
 #: Rare words that two similar texts must share; different texts of fewer than five words can't be similar, and others share as many.
 RARE = 2
+#: Long integers whose bits tell which labelled words a text has.
+SIGNATURE = 8
 #: Keys with more than this part of a table's rows are joined by broadcast.
 HEAVY = 1000
 
@@ -223,6 +226,15 @@ def similarity_of(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> fl
     return 0.0 if found is None else 1 - found / longer
 
 
+def similarity_by_counts(left: tuple, right: tuple) -> float:
+    """``similarity_of`` two texts (word hashes, different words and their counts), aligned only if the words in common allow it."""
+    (a, ua, na), (b, ub, nb) = left, right
+    longer = max(len(a), len(b))
+    _, i, j = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    possible = longer - np.minimum(na[i], nb[j]).sum() <= int((1 - SIMILARITY) * longer + 1e-9)
+    return similarity_of(a, b) if possible else 0.0
+
+
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Of each pair; a text's word hashes and their counts are kept while the pairs of a batch repeat it (up to KEPT words)."""
     known, size, out = {}, 0, []
@@ -239,11 +251,7 @@ def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
         return known[text]
 
     for x, y in zip(left, right):
-        (a, ua, na), (b, ub, nb) = of(x), of(y)
-        longer = max(len(a), len(b))
-        _, i, j = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-        possible = longer - np.minimum(na[i], nb[j]).sum() <= int((1 - SIMILARITY) * longer + 1e-9)
-        out.append(similarity_of(a, b) if possible else 0.0)
+        out.append(similarity_by_counts(of(x), of(y)))
     return pd.Series(out, dtype=float)
 
 
@@ -319,50 +327,75 @@ def class_sizes(member: DataFrame) -> DataFrame:
     )
 
 
-def touched(member: DataFrame, sizes: DataFrame, least: int = 1) -> DataFrame:
-    """x, root: texts and the other classes with texts that share ``least`` keys with them and may be as long. ``member`` is id, words, root, key;
-    of a key the texts of its largest class ask for no other, and of two smaller classes one asks for the other."""
-    outside = member.join(sizes.select("key", "major"), "key").filter("root <> major").select("key", "major", F.col("id").alias("x"), F.col("words").alias("n"), F.col("root").alias("x_root"))
-    there = member.groupBy("key", "root").agg(F.min("words").alias("shortest"), F.max("words").alias("longest"))
+def touched(member: DataFrame, sizes: DataFrame, least: int = 1, signs: list[str] = ()) -> DataFrame:
+    """x, root: texts and the other classes with texts that share ``least`` keys with them and may be as long. ``member`` is id, words, root, key
+    (and ``signs``, columns of ``signature``: a class lacking more of a text's words than edits are allowed isn't asked); of a key the texts of
+    its largest class ask for no other, and of two smaller classes one asks for the other."""
+    own = [F.col(s).alias(f"x_{s}") for s in signs]
+    outside = member.join(sizes.select("key", "major"), "key").filter("root <> major").select(
+        "key", "major", F.col("id").alias("x"), F.col("words").alias("n"), F.col("root").alias("x_root"), *own)
+    there = member.groupBy("key", "root").agg(F.min("words").alias("shortest"), F.max("words").alias("longest"), *[F.bit_or(s).alias(s) for s in signs])
     fits = (
         (F.col("x_root") != F.col("root")) & ((F.col("root") == F.col("major")) | (F.col("x_root") < F.col("root")))
         & (F.col("n") >= SIMILARITY * F.col("shortest") - 1e-9) & (F.col("longest") >= SIMILARITY * F.col("n") - 1e-9)
     )
+    if signs:
+        longer = F.least(F.greatest("n", "longest"), F.col("n") / SIMILARITY)
+        lacking = sum(F.bit_count(F.col(f"x_{s}").bitwiseAND(F.bitwise_not(s))) for s in signs)
+        fits &= lacking <= F.floor((1 - SIMILARITY) * longer + 1e-9)
     return outside.join(there, "key").filter(fits).groupBy("x", "root").agg(F.count("*").alias("keys")).filter(F.col("keys") >= least).select("x", "root")
 
 
-def similar_profiles(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """a, b, n of the pairs of a text of ``left`` and one of ``right`` whose lengths and profiles don't rule the similarity out; n: how many
-    words in a hundred may be equal."""
-    mine, theirs = (np.frombuffer(b"".join(side["profile"]), "<u4").reshape(len(side), CLASSES).astype(np.int32) for side in (left, right))
-    x, y, words = left["id"].to_numpy(), right["id"].to_numpy(), right["words"].to_numpy()
-    out = [np.empty((3, 0), np.int64)]
-    for i in range(len(left)):
-        longer = np.maximum(left["words"].iat[i], words)
-        equal = np.minimum(mine[i], theirs).sum(axis=1)
-        at = np.flatnonzero(longer - equal <= (1 - SIMILARITY) * longer + 1e-9)
-        out.append(np.stack([np.minimum(x[i], y[at]), np.maximum(x[i], y[at]), 100 * equal[at] // longer[at]]))
-    return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["a", "b", "n"])
-
-
-def with_members(asked: DataFrame, state: DataFrame, unique: DataFrame) -> DataFrame:
-    """a, b, n: the texts of ``asked`` (x, root) with the members of those classes, as far as lengths and profiles allow the similarity.
-    Classes of a few members are joined; larger ones are compared in blocks of BLOCK by BLOCK that make rows of what is left only."""
-    facts = unique.select("id", "words", "profile")
-    many = asked.groupBy("root").agg(F.count("*").alias("askers"))
-    sizes = written(state.groupBy("root").agg(F.count("*").alias("members")).join(many, "root"), "classes")
+def counted_words(texts: pd.Series) -> list[tuple]:
+    """Word hashes, different words and their counts of every text."""
+    values, out = texts.tolist(), []
+    for lo, hi in chunks(values):
+        words = [words_of(t) for t in values[lo:hi]]
+        ends = np.cumsum([len(ws) for ws in words])
+        out += [(h, *np.unique(h, return_counts=True)) for h in np.split(hashed([w for ws in words for w in ws]), ends[:-1])]
+    return out
+
+
+def similar_members(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """a, b: of each text (id, text) of ``left`` and one of ``right`` that is similar to it, if there is any: as those of ``right`` are of one
+    class, more say nothing new. What profiles allow is aligned, most alike first, until one is similar."""
+    mine, theirs = counted_words(left["text"]), counted_words(right["text"])
+    bins = np.array([np.frombuffer(profile(t[0]), "<u4") for t in theirs], np.int64).reshape(-1, CLASSES)
+    lengths, out = bins.sum(axis=1), []
+    for x, own in zip(left["id"].tolist(), mine):
+        longer = np.maximum(len(own[0]), lengths)
+        apart_by = longer - np.minimum(np.frombuffer(profile(own[0]), "<u4").astype(np.int64), bins).sum(axis=1)
+        at = np.flatnonzero(apart_by <= (1 - SIMILARITY) * longer + 1e-9)
+        for k in at[np.argsort(apart_by[at] / longer[at], kind="stable")].tolist():
+            if similarity_by_counts(own, theirs[k]):
+                out.append((x, right["id"].iat[k]))
+                break
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def with_members(asked: DataFrame, state: DataFrame, unique: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The texts of ``asked`` (x, root) with the members of those classes. Classes of a few members are joined: pairs a, b, n as far as
+    lengths and profiles allow the similarity. With larger ones texts are compared in blocks of at most about BLOCK texts and BLOCK_WORDS
+    words a side, which give links (a, b), at most one for a text and block; None without such classes."""
+    words = unique.select("id", "words")
+    many = asked.join(words, F.col("x") == F.col("id")).groupBy("root").agg(F.count("*").alias("askers"), F.sum("words").alias("asking"))
+    sizes = state.join(words, "id").groupBy("root").agg(F.count("*").alias("members"), F.sum("words").alias("held"))
+    sizes = written(sizes.join(many, "root"), "classes")
     low, high = F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")
     few = sizes.filter(F.col("members") <= OUTSIDERS).select("root")
-    pairs = asked.join(few, "root", "left_semi").join(state, "root").select(low, high).distinct().withColumn("n", F.lit(100))
-    large = sizes.filter(F.col("members") > OUTSIDERS).select("root", F.ceil(F.col("askers") / BLOCK).alias("ps"), F.ceil(F.col("members") / BLOCK).alias("qs"))
-    x = asked.select(F.col("x").alias("id"), "root").join(large, "root").join(facts, "id").selectExpr(
-        "root", "pmod(xxhash64(id), ps) as p", "explode(sequence(0L, qs - 1)) as q", "id", "words", "profile")
-    y = state.join(large, "root").join(facts, "id").selectExpr(
-        "root", "explode(sequence(0L, ps - 1)) as p", "pmod(xxhash64(id), qs) as q", "id", "words", "profile")
-    by = ["root", "p", "q"]
+    pairs = profiled(asked.join(few, "root", "left_semi").join(state, "root").select(low, high).distinct().withColumn("n", F.lit(100)), unique)
+    large = sizes.filter(F.col("members") > OUTSIDERS).selectExpr(
+        "root", f"ceil(greatest(askers / {BLOCK}, asking / {BLOCK_WORDS})) as ps", f"ceil(greatest(members / {BLOCK}, held / {BLOCK_WORDS})) as qs")
+    if not large.limit(1).count():
+        return pairs, None
+    x = asked.join(large, "root").selectExpr("root", "pmod(xxhash64(x), ps) as p", "explode(sequence(0L, qs - 1)) as q", "x as id")
+    y = state.join(large, "root").selectExpr("root", "explode(sequence(0L, ps - 1)) as p", "pmod(xxhash64(id), qs) as q", "id")
     x, y = written(x, "askers"), written(y, "members")
-    blocks = x.groupBy(*by).cogroup(y.groupBy(*by)).applyInPandas(similar_profiles, "a long, b long, n long")
-    return profiled(pairs, unique).unionByName(blocks.distinct()).groupBy("a", "b").agg(F.max("n").alias("n"))
+    texts = written(texts_of(base, x.select("id").union(y.select("id")).distinct(), unique), "block_texts")
+    by = ["root", "p", "q"]
+    renewed = [F.col(c).alias(c) for c in (*by, "id", "text")]  # columns of its own for each side of the cogroup
+    sides = [side.join(texts, "id").select(*renewed).groupBy(*by) for side in (x, y)]
+    return pairs, sides[0].cogroup(sides[1]).applyInPandas(similar_members, "a long, b long")
 
 
 def word_labels(text: str) -> np.ndarray:
@@ -374,11 +407,18 @@ def labels_of(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: word_labels(t).view(np.int64))
 
 
-def rarest(known: np.ndarray, text: str) -> np.ndarray:
+def signature(labels: np.ndarray) -> np.ndarray:
+    """SIGNATURE integers with a bit for every label (a label has one bit, which others may have too): a partner within d edits has
+    all but d of the labels, so that no more than d bits are missing in its signature."""
+    bits = np.zeros(64 * SIGNATURE, np.uint8)
+    bits[(labels >> np.uint64(32)) % np.uint64(64 * SIGNATURE)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def rarest(known: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """The d + RARE rarest labelled words of a text that allows d edits; ``known``: the frequent ones, most frequent last. A partner
     within d edits has all but d of the text's labels (a longer one allows more edits by as many words as it is longer, at least),
     and so the RARE rarest labels that both have are among the first d + RARE of either."""
-    labels = word_labels(text)
     order = np.argsort(known, kind="stable")
     at = np.minimum(np.searchsorted(known, labels, sorter=order), max(len(known) - 1, 0))
     place = np.where(known[order[at]] == labels, order[at] + 1, 0) if len(known) else np.zeros(len(labels), int)
@@ -386,19 +426,30 @@ def rarest(known: np.ndarray, text: str) -> np.ndarray:
     return labels[first].view(np.int64)
 
 
+def signs() -> list[str]:
+    return [f"s{i}" for i in range(SIGNATURE)]
+
+
 def by_rare_words(open_texts: DataFrame) -> DataFrame:
-    """id, key of the rarest labelled words of id, text."""
+    """id, key of the rarest labelled words of id, text, with the text's signature in ``signs()``."""
     label = F.explode(F.pandas_udf(labels_of, "array<long>")("text")).alias("key")
     counts = open_texts.select(label).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
     known = np.array([r.key for r in reversed(top)], np.int64).view(np.uint64)
-    keys = F.pandas_udf(lambda texts: texts.map(lambda t: rarest(known, t)), "array<long>")
-    return open_texts.select("id", F.explode(keys("text")).alias("key"))
+
+    def facts(texts: pd.Series) -> pd.DataFrame:
+        labels = texts.map(word_labels)
+        marks = np.array([signature(x) for x in labels], np.int64).reshape(-1, SIGNATURE)
+        return pd.DataFrame({"keys": labels.map(lambda x: rarest(known, x)), **dict(zip(signs(), marks.T))})
+
+    kind = ", ".join(["keys array<long>", *[f"{s} long" for s in signs()]])
+    return open_texts.select("id", F.pandas_udf(facts, kind)("text").alias("f")).select("id", F.explode("f.keys").alias("key"), *[F.col(f"f.{s}") for s in signs()])
 
 
-def remaining(shared: DataFrame, unique: DataFrame, state: DataFrame, tried: DataFrame, base: DataFrame) -> DataFrame:
-    """a, b, n: all pairs that share a sketch, are in different classes of ``state`` and aren't in ``tried``, without those whose lengths or
-    profiles rule the similarity out (and some more pairs: a text meets all members of a class in which one shares a key with it)."""
+def remaining(shared: DataFrame, unique: DataFrame, state: DataFrame, tried: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """All pairs that share a sketch and are in different classes of ``state`` (and more: a text meets all members of a class in which one
+    shares a key with it), those in small classes as a, b, n without pairs of ``tried`` and those whose lengths or profiles rule the
+    similarity out, those in large ones as links a, b (or None), of ``with_members``."""
     member = shared.select("id", "words", "key").join(state, "id")
     several = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     member = written(member.join(several, "key", "left_semi"), "open")
@@ -408,10 +459,10 @@ def remaining(shared: DataFrame, unique: DataFrame, state: DataFrame, tried: Dat
     if many.limit(1).count():
         crowded = written(member.join(many, "key", "left_semi").select("id", "words", "root").distinct(), "crowded")
         rare = by_rare_words(texts_of(base, crowded.select("id"), unique))
-        member = written(rare.join(crowded, "id").select("id", "words", "root", "key"), "rare")
-        asked = asked.union(touched(member, class_sizes(member).filter("outsiders > 0"), RARE)).distinct()
-    pairs = with_members(written(asked, "asked"), state, unique)
-    return pairs.join(tried, ["a", "b"], "left_anti")
+        member = written(rare.join(crowded, "id").select("id", "words", "root", "key", *signs()), "rare")
+        asked = asked.union(touched(member, class_sizes(member).filter("outsiders > 0"), RARE, signs())).distinct()
+    pairs, links = with_members(written(asked, "asked"), state, unique, base)
+    return pairs.join(tried, ["a", "b"], "left_anti"), links
 
 
 def apart(pairs: DataFrame, state: DataFrame) -> DataFrame:
@@ -429,13 +480,15 @@ def merged(state: DataFrame, links: DataFrame) -> DataFrame:
     return written(state.join(roots, "root", "left").select("id", F.coalesce("above", "root").alias("root")), "state")
 
 
-def settled(state: DataFrame, pairs: DataFrame, texts: DataFrame, first: int = FIRST_ROUND) -> DataFrame:
-    """``state`` after all ``pairs`` (a, b, n) are verified or in one class: first a few of each text, those that share most sketches, so
-    that classes grow before the many are looked at."""
+def settled(state: DataFrame, pairs: DataFrame, texts: DataFrame, first: int = FIRST_ROUND, links: DataFrame | None = None) -> DataFrame:
+    """``state`` after ``links`` and all ``pairs`` (a, b, n) are verified or in one class: first a few of each text, those that share most
+    sketches, so that classes grow before the many are looked at."""
     place = F.row_number().over(W.partitionBy("b").orderBy(F.desc("n"), "a"))
     pairs = written(pairs.select("a", "b", place.alias("place")), "placed")
     for which in (F.col("place") <= first, F.col("place") > first):
-        state = merged(state, written(verified(apart(pairs.filter(which), state), texts), "more"))
+        found = verified(apart(pairs.filter(which), state), texts)
+        state = merged(state, written(found if links is None else found.union(links), "more"))
+        links = None
     return state
 
 
@@ -486,8 +539,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs = written(candidates(shared, unique), "pairs")
     state = merged(unique.select("id", F.col("id").alias("root")), same_id(known, nodes))
     state = settled(state, pairs, written(texts_of(base, ends_of(pairs), unique), "texts"), first=1)
-    rest = written(remaining(shared, unique, state, pairs.select("a", "b"), base), "rest")
-    state = settled(state, rest, written(texts_of(base, ends_of(rest), unique), "texts"))
+    rest, links = remaining(shared, unique, state, pairs.select("a", "b"), base)
+    rest = written(rest, "rest")
+    state = settled(state, rest, written(texts_of(base, ends_of(rest), unique), "texts"), links=links)
     of_node = nodes.join(state.select(F.col("id").alias("node"), "root"), "node")
     firsts = of_node.groupBy("root").agg(F.min("first").alias("class"))
     of_text = of_node.join(firsts, "root").select("digest", "class")

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -165,7 +166,7 @@ def test_rarest_words_are_shared_by_all_similar_texts():
         known = np.unique(known[rng.randint(0, 29) :])
         rng.shuffle(known)
         if len(a) >= 5 and len(b) >= 5:
-            assert len(set(nd.rarest(known, " ".join(a))) & set(nd.rarest(known, " ".join(b)))) >= nd.RARE
+            assert len(set(nd.rarest(known, nd.word_labels(" ".join(a)))) & set(nd.rarest(known, nd.word_labels(" ".join(b))))) >= nd.RARE
 
 
 def test_recall_by_length_at_the_least_similarity():
@@ -196,3 +197,27 @@ def test_both_alignments_agree():
     a = np.array([rng.randrange(400) for _ in range(nd.SHORT + 100)], np.uint64)
     b = np.delete(a, [5, 90, 300])
     assert nd.edits_within(a, b, 10) == nd.edits_by_bits(a, b, 10) == 3
+
+
+def test_signatures_lack_no_more_bits_than_there_are_edits():
+    rng = random.Random(7)
+    for _ in range(300):
+        vocabulary = [f"w{i}" for i in range(rng.choice([3, 40, 4000]))]
+        a = rng.choices(vocabulary, k=rng.randint(1, 300))
+        b = edited(rng, a, 0.3, vocabulary)
+        x, y = (int.from_bytes(nd.signature(nd.word_labels(" ".join(t))).tobytes(), "little") for t in (a, b or ["w"]))
+        assert (x & ~y).bit_count() <= distance(a, b or ["w"])
+
+
+def test_blocks_link_every_text_that_has_a_similar_member():
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = rng.choices(vocabulary, k=60)
+    sides = [[edited(rng, base, 0.14, vocabulary) for _ in range(n)] for n in (40, 70)]
+    sides[0].append(rng.choices(vocabulary, k=60))
+    left, right = (pd.DataFrame({"id": range(lo, lo + len(s)), "text": [" ".join(t) for t in s]}) for lo, s in zip((0, 1000), sides))
+    got = nd.similar_members(left, right)
+    similar = {(x, y) for x, a in enumerate(sides[0]) for y, b in enumerate(sides[1], 1000) if nd.similarity_of(hashed(a), hashed(b)) > 0}
+    assert set(zip(got["a"], got["b"])) <= similar
+    assert sorted(got["a"]) == sorted({x for x, _ in similar}) and 0 < len(got) < 41
+    assert len(nd.similar_members(left.head(0), right)) == len(nd.similar_members(left, right.head(0))) == 0
