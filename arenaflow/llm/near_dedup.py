@@ -50,7 +50,7 @@ SHORT = 600
 #: Words whose hashes a batch of pairs keeps.
 KEPT = 4_000_000
 #: Texts and words in each side of a block of texts and members; pairs of a text that the first round of verifying takes.
-BLOCK, BLOCK_WORDS, FIRST_ROUND = 1024, 1_000_000, 8
+BLOCK, BLOCK_WORDS, FIRST_ROUND = 64, 100_000, 8
 #: Members outside its largest class up to which a bucket's classes meet directly (and members of a class that is joined row by row); words
 #: whose frequency every task knows.
 OUTSIDERS, FREQUENT = 16, 50_000
@@ -327,12 +327,17 @@ def class_sizes(member: DataFrame) -> DataFrame:
     )
 
 
-def touched(member: DataFrame, sizes: DataFrame, least: int = 1, signs: list[str] = ()) -> DataFrame:
-    """x, root: texts and the other classes with texts that share ``least`` keys with them and may be as long. ``member`` is id, words, root, key
+def sized(member: DataFrame) -> DataFrame:
+    """``member`` with its key's major and outsiders."""
+    return member.join(class_sizes(member).select("key", "major", "outsiders"), "key")
+
+
+def touched(member: DataFrame, least: int = 1, signs: list[str] = ()) -> DataFrame:
+    """x, root: texts and the other classes with texts that share ``least`` keys with them and may be as long. ``member`` is id, words, root, key, major
     (and ``signs``, columns of ``signature``: a class lacking more of a text's words than edits are allowed isn't asked); of a key the texts of
     its largest class ask for no other, and of two smaller classes one asks for the other."""
     own = [F.col(s).alias(f"x_{s}") for s in signs]
-    outside = member.join(sizes.select("key", "major"), "key").filter("root <> major").select(
+    outside = member.filter("root <> major").select(
         "key", "major", F.col("id").alias("x"), F.col("words").alias("n"), F.col("root").alias("x_root"), *own)
     there = member.groupBy("key", "root").agg(F.min("words").alias("shortest"), F.max("words").alias("longest"), *[F.bit_or(s).alias(s) for s in signs])
     fits = (
@@ -452,15 +457,14 @@ def remaining(shared: DataFrame, unique: DataFrame, state: DataFrame, tried: Dat
     similarity out, those in large ones as links a, b (or None), of ``with_members``."""
     member = shared.select("id", "words", "key").join(state, "id")
     several = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    member = written(member.join(several, "key", "left_semi"), "open")
-    sizes = written(class_sizes(member), "sizes")
-    few, many = sizes.filter(F.col("outsiders") <= OUTSIDERS), sizes.filter(F.col("outsiders") > OUTSIDERS)
-    asked = touched(member, few)
+    member = written(sized(written(member.join(several, "key", "left_semi"), "open")), "sized")
+    few, many = member.filter(F.col("outsiders") <= OUTSIDERS), member.filter(F.col("outsiders") > OUTSIDERS)
+    asked = touched(few)
     if many.limit(1).count():
-        crowded = written(member.join(many, "key", "left_semi").select("id", "words", "root").distinct(), "crowded")
+        crowded = written(many.select("id", "words", "root").distinct(), "crowded")
         rare = by_rare_words(texts_of(base, crowded.select("id"), unique))
         member = written(rare.join(crowded, "id").select("id", "words", "root", "key", *signs()), "rare")
-        asked = asked.union(touched(member, class_sizes(member).filter("outsiders > 0"), RARE, signs())).distinct()
+        asked = asked.union(touched(written(sized(member).filter("outsiders > 0"), "rare_sized"), RARE, signs())).distinct()
     pairs, links = with_members(written(asked, "asked"), state, unique, base)
     return pairs.join(tried, ["a", "b"], "left_anti"), links
 
