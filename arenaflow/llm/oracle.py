@@ -25,6 +25,22 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+OP13 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT *, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS hs FROM d),
+c AS (
+  SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 90 THEN 'plain' WHEN hs[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM g
+), o AS (
+  SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM o
+"""
+
 
 def op3() -> str:
     """Offsets as in the operator: running sums of the lengths of gaps and matches. RE2 needs no look-behind to be linear."""
@@ -94,4 +110,4 @@ def op6(rules=url_filter.RULES, damping=url_filter.DAMPING, rounds=url_filter.RO
     FROM j CROSS JOIN n LEFT JOIN s ON s.host = j.host"""
 
 
-ORACLE = {"op3_pii": op3(), "op6_url_filter": op6(), "op7_warc": OP7, "op9_exact_topk": OP9}
+ORACLE = {"op3_pii": op3(), "op6_url_filter": op6(), "op7_warc": OP7, "op9_exact_topk": OP9, "op13_fill_middle": OP13}

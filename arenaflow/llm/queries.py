@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from arenaflow.llm import decontaminate, exact_topk, license_scan, mixing, near_dedup, pii, quality, token_counts, url_filter, warc_store
+from arenaflow.llm import (
+    decontaminate, exact_topk, fill_middle, license_scan, mixing, near_dedup, pii, quality, token_counts, url_filter, warc_store, whitening,
+)
 from arenaflow.llm.common import shared_dir, table
 from arenaflow.llm.oracle import ORACLE
 
@@ -53,10 +55,18 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_whitening(spark, sf_dir):
+    return whitening.whitened_entries(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_middle(spark, sf_dir):
+    return fill_middle.summary(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_near_dedup, op2_decontaminate, op3_pii, op4_mixing, op5_quality, op6_url_filter, op7_warc, op8_license_scan, op9_exact_topk,
-        op10_token_counts,
+        op10_token_counts, op12_whitening, op13_fill_middle,
     )
 }
