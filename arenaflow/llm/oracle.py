@@ -25,6 +25,27 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+#: Shingles by position; pairs of different sets by the shingles in common; components by everything that is reached from each.
+OP11 = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS sh FROM d
+), k AS (SELECT *, md5(array_to_string(sh, chr(10))) AS digest FROM s),
+u AS (SELECT digest, any_value(sh) AS sh, min(doc_id) AS low FROM k WHERE len(sh) > 0 GROUP BY digest),
+e AS (SELECT digest, len(sh) AS n, hash(unnest(sh)) AS x FROM u),
+p AS (SELECT a.digest AS a, b.digest AS b, any_value(a.n) + any_value(b.n) AS total, count(*) AS common FROM e a JOIN e b ON a.x = b.x AND a.digest < b.digest GROUP BY ALL),
+l AS (
+  SELECT a, b FROM p WHERE 100 * common >= 90 * (total - common)
+  UNION SELECT x.digest, y.digest FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.digest <> y.digest AND len(x.sh) > 0 AND len(y.sh) > 0
+), g AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+t AS (SELECT a AS start, a AS node FROM g UNION SELECT t.start, g.b FROM t JOIN g ON g.a = t.node),
+c AS (SELECT t.start AS digest, min(u.low) AS component FROM t JOIN u ON u.digest = t.node GROUP BY 1)
+SELECT k.doc_id, CAST(len(k.sh) AS BIGINT) AS n_shingles, CASE WHEN len(k.sh) = 0 THEN k.doc_id ELSE coalesce(c.component, u.low) END AS component_id
+FROM k LEFT JOIN u ON u.digest = k.digest LEFT JOIN c ON c.digest = k.digest
+"""
+
 OP13 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 g AS (SELECT *, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS hs FROM d),
@@ -110,4 +131,4 @@ def op6(rules=url_filter.RULES, damping=url_filter.DAMPING, rounds=url_filter.RO
     FROM j CROSS JOIN n LEFT JOIN s ON s.host = j.host"""
 
 
-ORACLE = {"op3_pii": op3(), "op6_url_filter": op6(), "op7_warc": OP7, "op9_exact_topk": OP9, "op13_fill_middle": OP13}
+ORACLE = {"op3_pii": op3(), "op6_url_filter": op6(), "op7_warc": OP7, "op9_exact_topk": OP9, "op11_parity_join": OP11, "op13_fill_middle": OP13}

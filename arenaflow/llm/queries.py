@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from arenaflow.llm import (
-    decontaminate, exact_topk, fill_middle, license_scan, mixing, near_dedup, pii, quality, token_counts, url_filter, warc_store, whitening,
+    decontaminate, exact_topk, fill_middle, license_scan, mixing, near_dedup, parity_join, pii, quality, token_counts, url_filter, warc_store, whitening,
 )
 from arenaflow.llm.common import shared_dir, table
 from arenaflow.llm.oracle import ORACLE
@@ -55,6 +55,10 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_parity_join(spark, sf_dir):
+    return parity_join.join_classes(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark, sf_dir):
     return whitening.whitened_entries(table(spark, sf_dir, "embeddings"))
 
@@ -67,6 +71,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_near_dedup, op2_decontaminate, op3_pii, op4_mixing, op5_quality, op6_url_filter, op7_warc, op8_license_scan, op9_exact_topk,
-        op10_token_counts, op12_whitening, op13_fill_middle,
+        op10_token_counts, op11_parity_join, op12_whitening, op13_fill_middle,
     )
 }
