@@ -1,10 +1,19 @@
 """The order-dependent skill rating.
 
-A match changes both players' ratings and the next match starts from those, so one mode is a serial fold; modes are independent groups.
-What can be parallel is: pairs are made before the fold, and snapshots, arena residuals and counts are derived from the history
-after it. The fold's input is a few numbers for each duel.
+A duel changes both players' ratings and each one's next duel starts from those, so what must be serial is the chain of duels that share
+players. ``fold`` cuts time into slices; within a slice the duels of one mode fall into components that have no player in common, and those are
+folded side by side, each from its own players' state. Between slices only the state (a row for each mode and player) is handed on, as a
+table. A slice's longest task is its largest component. Where players meet so often that components would stay whole even in the
+finest slices, one slice is used, and modes alone run side by side.
 
-Two-player Weng-Lin (Plackett-Luce) update, computed once for either winner and blended by a continuous outcome score.
+Everything else is parallel: pairs are made before the fold; snapshots, arena ratings and counts are derived from the history after it,
+since an arena's residual only needs what both sides were rated before the duel.
+
+Two-player Weng-Lin (Plackett-Luce) update, computed once for either winner and blended by a continuous outcome score; an away player's
+change is weighted down.
+
+A duel has mode, arena, match_id, played_at, a, b, frags_a, frags_b and, as far as known (missing columns count as null), given_a, taken_a,
+given_b, taken_b (damage), region_a, region_b (homes) and server_region. ``ratio`` may stand in for a's damage ratio. Duels without frags or against oneself are left out.
 """
 
 from __future__ import annotations
@@ -12,16 +21,28 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from arenaflow.operators.graph import components
+from arenaflow.shared import forget, written
+
 #: Fixed values of the model.
 MU0, SIGMA0, BETA, TAU, KAPPA = 1500.0, 500.0, 250.0, 0.5, 1e-4
 SIGMA_FLOOR, SIGMA_CAP, DAILY_GROWTH = 80.0, 500.0, 1.0
 MARGIN_CAP, MARGIN_SCALE = 70.0, 2575.0
 WIN_SHARE, MARGIN_SHARE = 0.65, 0.65
-ARENA_SCALE, ARENA_PRIOR = 900.0, 10.0
-HISTORY = "mode string, arena string, match_id long, played_at timestamp_ntz, player long, opponent long, outcome string, mu_before double, mu_after double, sigma_before double, sigma_after double, residual double"
+ARENA_SCALE, ARENA_PRIOR, ARENA_MATCHES, RESIDUAL_SPREAD = 900.0, 10.0, 50, 0.5
+AWAY_WEIGHT = 0.6
+#: Slices at most, and the duels for each active player that a slice aims at: below a half, components stay small in a random graph.
+MOST_SLICES, PER_PLAYER = 64, 0.4
+OPTIONAL = {c: "double" for c in ("given_a", "taken_a", "given_b", "taken_b", "ratio")} | {c: "string" for c in ("region_a", "region_b", "server_region")}
+INPUT = ["mode", "arena", "match_id", "played_at", "a", "b", "frags_a", "frags_b", *OPTIONAL]
+HISTORY = (
+    "mode string, arena string, match_id long, played_at timestamp_ntz, player long, opponent long, outcome string, mu_before double, mu_after double, "
+    "sigma_before double, sigma_after double, residual double, diff double, given double, taken double"
+)
 
 
 def posterior(winner: tuple[float, float], loser: tuple[float, float]) -> tuple[tuple[float, float], tuple[float, float]]:
@@ -40,67 +61,201 @@ def posterior(winner: tuple[float, float], loser: tuple[float, float]) -> tuple[
 
 
 def outcome_score(frags_a: float, frags_b: float, ratio: float | None, mu_a: float, mu_b: float) -> float:
-    """How far the duel went a's way, 0 to 1: the result, the surprise of the margin and the damage ratio."""
+    """How far the duel went a's way, 0 to 1: the result, the surprise of the margin and (where known) the damage ratio."""
     won = 1.0 if frags_a > frags_b else 0.0 if frags_a < frags_b else 0.5
     surprise = frags_a - frags_b - MARGIN_CAP * math.tanh((mu_a - mu_b) / MARGIN_SCALE)
     sig = lambda x: 1 / (1 + math.exp(max(-700.0, min(700.0, -x))))
-    ddr = 0.5 if ratio is None or ratio != ratio else sig(2 * (ratio - 1))
-    return WIN_SHARE * won + (1 - WIN_SHARE) * (MARGIN_SHARE * sig(surprise / 10) + (1 - MARGIN_SHARE) * ddr)
+    margin = sig(surprise / 10)
+    if ratio is not None and ratio == ratio:
+        margin = MARGIN_SHARE * margin + (1 - MARGIN_SHARE) * sig(2 * (ratio - 1))
+    return WIN_SHARE * won + (1 - WIN_SHARE) * margin
+
+
+def win_chance(a: tuple[float, float], b: tuple[float, float]) -> float:
+    """Normal approximation from both beliefs (mu, sigma)."""
+    spread = math.sqrt(2 * BETA * BETA + a[1] * a[1] + b[1] * b[1])
+    return 0.5 * (1 + math.erf((a[0] - b[0]) / (spread * math.sqrt(2))))
 
 
 def aged(sigma: float, days: float) -> float:
-    return min(SIGMA_CAP, math.sqrt(sigma * sigma + (DAILY_GROWTH * max(0.0, days)) ** 2))
+    return min(SIGMA_CAP, math.sqrt(sigma * sigma + (DAILY_GROWTH * days) ** 2)) if days > 0 else sigma
 
 
-def duel(a: tuple[float, float], b: tuple[float, float], score: float):
-    """New (mu, sigma) of both, between what a win of a and a win of b would give."""
+def weight(home: str | None, server: str | None) -> float:
+    """Of a player's change: less away from home, full where either place is unknown."""
+    return AWAY_WEIGHT if home and server and home != server else 1.0
+
+
+def duel(a: tuple[float, float], b: tuple[float, float], score: float, weight_a: float = 1.0, weight_b: float = 1.0):
+    """New (mu, sigma) of both, between what a win of a and a win of b would give, moved as far as the weights allow."""
     a1, b1 = posterior(a, b)
     b2, a2 = posterior(b, a)
-    blend = lambda x, y: (score * x[0] + (1 - score) * y[0], max(SIGMA_FLOOR, score * x[1] + (1 - score) * y[1]))
-    return blend(a1, a2), blend(b1, b2)
+
+    def moved(old, x, y, w):
+        mu, sigma = (score * p + (1 - score) * q for p, q in zip(x, y))
+        return old[0] + w * (mu - old[0]), max(SIGMA_FLOOR, old[1] + w * (sigma - old[1]))
+
+    return moved(a, a1, a2, weight_a), moved(b, b1, b2, weight_b)
+
+
+def missing(x) -> bool:
+    return x is None or x is pd.NaT or x != x
 
 
 def fold_rows(rows: pd.DataFrame, state: dict | None = None) -> tuple[list, dict]:
     """History rows of duels in order, and the players' state {id: (mu, sigma, last time)} after them."""
     state = {} if state is None else state
+    rows = rows.reindex(columns=INPUT) if set(INPUT) - set(rows.columns) else rows
     out = []
     for r in rows.itertuples(index=False):
-        now, before = r.played_at, {}
+        if r.a == r.b or missing(r.frags_a) or missing(r.frags_b):
+            continue
+        now, before, old = r.played_at, {}, {}
         for p in (r.a, r.b):
             mu, sigma, last = state.get(p, (MU0, SIGMA0, None))
-            before[p] = (mu, aged(sigma, (now - last).total_seconds() / 86400) if last is not None else sigma)
-        score = outcome_score(r.frags_a, r.frags_b, r.ratio, before[r.a][0], before[r.b][0])
-        new = dict(zip((r.a, r.b), duel(before[r.a], before[r.b], score)))
-        for me, other, own, theirs, s in ((r.a, r.b, r.frags_a, r.frags_b, score), (r.b, r.a, r.frags_b, r.frags_a, 1 - score)):
-            expected = 1 / (1 + math.exp((before[other][0] - before[me][0]) / (2 * BETA)))
-            outcome = "win" if own > theirs else "loss" if own < theirs else "draw"
-            out.append((r.mode, r.arena, r.match_id, now, me, other, outcome, before[me][0], new[me][0], before[me][1], new[me][1], s - expected))
+            old[p] = (mu, sigma)
+            before[p] = (mu, aged(sigma, 0.0 if missing(last) or missing(now) else (now - last).total_seconds() / 86400))
+        ratio = r.ratio
+        if missing(ratio):
+            ratio = None if missing(r.given_a) or missing(r.taken_a) or r.taken_a <= 0 else r.given_a / max(1.0, r.taken_a)
+        score = outcome_score(r.frags_a, r.frags_b, ratio, before[r.a][0], before[r.b][0])
+        home = [None if missing(x) else x for x in (r.region_a, r.region_b, r.server_region)]
+        new = dict(zip((r.a, r.b), duel(before[r.a], before[r.b], score, weight(home[0], home[2]), weight(home[1], home[2]))))
+        for me, other, own, theirs, given, taken in ((r.a, r.b, r.frags_a, r.frags_b, r.given_a, r.taken_a), (r.b, r.a, r.frags_b, r.frags_a, r.given_b, r.taken_b)):
+            result, outcome = (1.0, "win") if own > theirs else (0.0, "loss") if own < theirs else (0.5, "draw")
+            residual = result - win_chance(old[me], old[other])
+            out.append((r.mode, r.arena, r.match_id, now, me, other, outcome, old[me][0], new[me][0], old[me][1], new[me][1], residual,
+                        own - theirs, None if missing(given) else given, None if missing(taken) else taken))
             state[me] = (*new[me], now)
     return out, state
 
 
-def fold(duels: DataFrame) -> DataFrame:
-    """History of every duel side. Order: time, match, a, b; a match's pairs count one after the other."""
+def history_frame(out: list) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=[c.split()[0] for c in HISTORY.split(", ")])
+
+
+def in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["played_at", "match_id", "a", "b"])
+
+
+def completed(duels: DataFrame) -> DataFrame:
+    """The columns of INPUT, missing ones null; only duels that can be rated."""
+    cols = [F.col(c).cast(OPTIONAL[c]) if c in duels.columns else F.lit(None).cast(OPTIONAL[c]).alias(c) for c in OPTIONAL]
+    kept = duels.filter("frags_a is not null and frags_b is not null and a <> b")
+    return kept.select("mode", "arena", "match_id", "played_at", "a", "b", F.col("frags_a").cast("double"), F.col("frags_b").cast("double"), *cols)
+
+
+def advised_slices(duels: DataFrame) -> int:
+    """So many that a slice has PER_PLAYER duels for each player of the mode, on average; 1 where more than MOST_SLICES would be needed for that."""
+    players = duels.select("mode", F.explode(F.array("a", "b")).alias("p")).groupBy("mode").agg(F.countDistinct("p").alias("players"), (F.count("*") / 2).alias("duels"))
+    need = players.agg(F.max(F.ceil(F.col("duels") / (PER_PLAYER * F.col("players")))).alias("n")).first()["n"] or 1
+    return need if need <= MOST_SLICES else 1
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, _ = fold_rows(rows.sort_values(["played_at", "match_id", "a", "b"]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in HISTORY.split(", ")])
 
-    return duels.groupBy("mode").applyInPandas(run, HISTORY)
+def sliced(duels: DataFrame, slices: int) -> DataFrame:
+    """``duels`` with slice (0 to slices - 1, growing with time; equal times share one) and group, a number of its component in mode and slice."""
+    seconds = F.unix_micros(F.col("played_at").cast("timestamp")).cast("double")
+    cuts = sorted(set(duels.agg(F.percentile_approx(seconds, [i / slices for i in range(1, slices)], 10_000).alias("c")).first()["c"] or [])) if slices > 1 else []
+    bounds = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
+    cut = duels.withColumn("slice", F.size(F.filter(bounds, lambda c: c < seconds)))
+    # equal hashes of two players would only join their components
+    node = lambda p: F.xxhash64("mode", "slice", p)
+    cut = written(cut.withColumn("node", node("a")), "slices")
+    roots = components(cut.select(F.col("node").alias("a"), node("b").alias("b")).distinct())
+    return written(cut.join(roots.select(F.col("id").alias("node"), F.col("root").alias("group")), "node").drop("node"), "sliced")
 
 
-def snapshot(history: DataFrame) -> DataFrame:
-    """Overall rating of each mode and player from its history."""
-    last = F.struct("played_at", "match_id", "opponent")
+def fold(duels: DataFrame, slices: int | None = None) -> DataFrame:
+    """History of every duel side. Order: time, match, a, b; a match's pairs count one after the other. ``slices`` changes what runs side by
+    side, never a value."""
+    duels = completed(duels)
+    slices = advised_slices(duels) if slices is None else slices
+    if slices <= 1:
+        return duels.groupBy("mode").applyInPandas(lambda rows: history_frame(fold_rows(in_order(rows))[0]), HISTORY)
+    cut, spark = sliced(duels, slices), duels.sparkSession
+
+    def run(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        state = {p.player: (p.mu, p.sigma, None if missing(p.last) else p.last) for p in known.itertuples()}
+        return history_frame(fold_rows(in_order(rows), state)[0])
+
+    state = spark.createDataFrame([], "mode string, player long, mu double, sigma double, last timestamp_ntz")
+    done = []
+    for k in range(slices):
+        own = cut.filter(F.col("slice") == k)
+        # names of its own, as both sides come from one table
+        players = own.select(F.col("mode").alias("mode"), F.col("group").alias("group"), F.explode(F.array("a", "b")).alias("player")).distinct()
+        known = players.join(state, ["mode", "player"])
+        rows = written(own.groupBy("mode", "group").cogroup(known.groupBy("mode", "group")).applyInPandas(run, HISTORY), "history")
+        done.append(rows)
+        if k < slices - 1:
+            now = rows.groupBy("mode", "player").agg(F.max_by(F.struct(F.col("mu_after").alias("mu"), F.col("sigma_after").alias("sigma"), F.col("played_at").alias("last")), own_order()).alias("s"))
+            later = written(state.join(now, ["mode", "player"], "left_anti").union(now.select("mode", "player", "s.*")), "state")
+            if k:
+                forget(state)
+            state = later
+    out = done[0]
+    for rows in done[1:]:
+        out = out.union(rows)
+    return out
+
+
+def own_order() -> Column:
+    """A player's own order: of a match's pairs that hold the player, the one with the smaller opponent comes first."""
+    return F.struct("played_at", "match_id", "opponent")
+
+
+def counts() -> list[Column]:
+    """What a snapshot row counts besides the rating itself; damage and margins only where damage is known."""
     count = lambda o: F.count_if(F.col("outcome") == o)
-    s = history.groupBy("mode", "player").agg(
-        F.max_by("mu_after", last).alias("mu"), F.max_by("sigma_after", last).alias("sigma"), F.count("*").alias("games"),
-        count("win").alias("wins"), count("loss").alias("losses"), count("draw").alias("draws"), F.countDistinct("opponent").alias("opponents"))
+    known = F.col("given").isNotNull() & F.col("taken").isNotNull()
+    return [
+        F.count("*").alias("games"), count("win").alias("wins"), count("loss").alias("losses"), count("draw").alias("draws"), F.countDistinct("opponent").alias("opponents"),
+        F.try_divide(F.sum(F.when(known, F.col("given"))), F.sum(F.when(known, F.col("taken")))).alias("avg_ddr"), F.avg(F.when(known, F.col("diff"))).alias("avg_frag_diff"),
+    ]
+
+
+def snapshot(history: DataFrame, unrated: DataFrame | None = None) -> DataFrame:
+    """Overall rating of each mode and player from its history; players of ``unrated`` (player) count for their opponents but get no row."""
+    if unrated is not None:
+        history = history.join(unrated.select("player").distinct(), "player", "left_anti")
+    s = history.groupBy("mode", "player").agg(F.max_by("mu_after", own_order()).alias("mu"), F.max_by("sigma_after", own_order()).alias("sigma"), *counts())
     return s.withColumn("conservative", F.col("mu") - 3 * F.col("sigma"))
 
 
-def arena_ratings(history: DataFrame, least: int = 5) -> DataFrame:
-    """Rating by arena: the overall one moved by the shrunk mean residual there."""
-    cells = history.groupBy("mode", "player", "arena").agg(F.count("*").alias("n"), F.avg("residual").alias("r")).filter(F.col("n") >= least)
-    delta = ARENA_SCALE * F.col("n") / (F.col("n") + ARENA_PRIOR) * F.col("r")
-    return cells.join(snapshot(history).select("mode", "player", "mu"), ["mode", "player"]).select("mode", "player", "arena", "n", (F.col("mu") + delta).alias("mu"))
+def arena_delta(total: Column, n: Column) -> Column:
+    """The shrunk effect of an arena on mu."""
+    return F.when(n > 0, ARENA_SCALE * (n / (n + ARENA_PRIOR)) * (total / n)).otherwise(0.0)
+
+
+def arena_sigma(sigma: Column, n: Column) -> Column:
+    """The overall belief and the standard error of the shrunk effect."""
+    error = ARENA_SCALE * RESIDUAL_SPREAD * F.sqrt(n) / (n + ARENA_PRIOR)
+    return F.when(n > 0, F.sqrt(sigma * sigma + error * error)).otherwise(sigma)
+
+
+def in_rated_arenas(history: DataFrame, matches: int = ARENA_MATCHES) -> DataFrame:
+    """Rows of arenas (compared in lower case) that a mode has had enough matches in."""
+    rows = history.filter("arena is not null and arena <> ''").withColumn("arena", F.lower("arena"))
+    enough = rows.groupBy("mode", "arena").agg(F.countDistinct("match_id").alias("n")).filter(F.col("n") >= matches).select("mode", "arena")
+    return rows.join(enough, ["mode", "arena"])
+
+
+def arena_history(history: DataFrame, matches: int = ARENA_MATCHES) -> DataFrame:
+    """The history of each rated arena: the overall beliefs moved by what the player's residuals there were before and after each duel."""
+    w = W.partitionBy("mode", "player", "arena").orderBy("played_at", "match_id", "opponent").rowsBetween(W.unboundedPreceding, 0)
+    rows = in_rated_arenas(history, matches).withColumn("n", F.count("*").over(w)).withColumn("total", F.sum("residual").over(w))
+    n, total = F.col("n") - 1, F.col("total") - F.col("residual")
+    return rows.select(
+        "mode", "arena", "match_id", "played_at", "player", "opponent", "outcome",
+        (F.col("mu_before") + arena_delta(total, n)).alias("mu_before"), (F.col("mu_after") + arena_delta(F.col("total"), F.col("n"))).alias("mu_after"),
+        arena_sigma(F.col("sigma_before"), n).alias("sigma_before"), arena_sigma(F.col("sigma_after"), F.col("n")).alias("sigma_after"))
+
+
+def arena_ratings(history: DataFrame, least: int = 5, matches: int = ARENA_MATCHES, unrated: DataFrame | None = None) -> DataFrame:
+    """Rating by arena: the overall one moved by the shrunk mean residual there, for players with enough duels in it."""
+    overall = snapshot(history, unrated).select("mode", "player", F.col("mu").alias("all_mu"), F.col("sigma").alias("all_sigma"))
+    cells = in_rated_arenas(history, matches).groupBy("mode", "player", "arena").agg(F.sum("residual").alias("total"), *counts()).filter(F.col("games") >= least)
+    n = F.col("games")
+    both = cells.join(overall, ["mode", "player"]).withColumn("mu", F.col("all_mu") + arena_delta(F.col("total"), n)).withColumn("sigma", arena_sigma(F.col("all_sigma"), n))
+    return both.select(
+        "mode", "player", "arena", "mu", "sigma", (F.col("mu") - 3 * F.col("sigma")).alias("conservative"), "games", "wins", "losses", "draws", "opponents", "avg_ddr", "avg_frag_diff")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from arenaflow.operators import rating
 
@@ -53,18 +53,32 @@ def new_keys(path: str, keys: list[str]):
     return write
 
 
-STATE = "players array<struct<id:long,mu:double,sigma:double,last:timestamp_ntz>>"
+class Ratings(StatefulProcessor):
+    """Folds the duels of a mode with one state entry for each player; a batch reads and writes the entries of its own players only."""
 
+    def __init__(self, forget_after_days: float | None = None):
+        self.ttl = None if forget_after_days is None else int(forget_after_days * 86_400_000)
 
-def rated(duels: DataFrame) -> DataFrame:
-    """History of a stream of duels; the ratings of a mode are kept between batches, so batches in order give what one fold gives.
-    A duel older than a player's last one is rated with what is known when it comes."""
+    def init(self, handle) -> None:
+        self.players = handle.getMapState("players", "player long", "mu double, sigma double, last timestamp_ntz", self.ttl)
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = {p[0]: (p[1], p[2], pd.Timestamp(p[3])) for p in state.get[0]} if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values(["played_at", "match_id", "a", "b"])
-        out, known = rating.fold_rows(rows, known)
-        state.update(([(int(i), float(m), float(s), t.to_pydatetime()) for i, (m, s, t) in known.items()],))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in rating.HISTORY.split(", ")])
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        duels = rating.in_order(pd.concat(list(rows)))
+        ids = sorted({int(p) for c in ("a", "b") for p in duels[c]})
+        known = {p: self.players.getValue((p,)) for p in ids if self.players.containsKey((p,))}
+        state = {p: (v[0], v[1], None if v[2] is None else pd.Timestamp(v[2])) for p, v in known.items()}
+        out, state = rating.fold_rows(duels, state)
+        for p, (mu, sigma, last) in state.items():
+            self.players.updateValue((int(p),), (float(mu), float(sigma), None if rating.missing(last) else last.to_pydatetime()))
+        yield rating.history_frame(out)
 
-    return duels.groupBy("mode").applyInPandasWithState(run, rating.HISTORY, STATE, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def rated(duels: DataFrame, forget_after_days: float | None = None) -> DataFrame:
+    """History of a stream of duels; batches in order give what one fold gives. A duel older than a player's last one is rated with what is
+    known when it comes. Players that don't play for ``forget_after_days`` of processing time start anew. Needs the state store of RocksDB
+    (``spark.sql.streaming.stateStore.providerClass``)."""
+    columns = rating.completed(duels)
+    return columns.groupBy("mode").transformWithStateInPandas(Ratings(forget_after_days), rating.HISTORY, "Append", "ProcessingTime" if forget_after_days else "None")

@@ -2,9 +2,8 @@ import io
 import json
 import math
 import tarfile
-from datetime import datetime, timedelta
+from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from arenaflow.functions import exprs as X
@@ -42,34 +41,6 @@ def test_rating_properties():
     assert all(abs(p - q) < 1e-9 for p, q in zip((*x, *y), (*x2, *y2)))
 
 
-def duel_rows(n=40):
-    t0 = datetime(2024, 1, 1)
-    return pd.DataFrame([("m", "dm4", i, t0 + timedelta(hours=7 * i), i % 3, 3 + i % 4, float(i * 7 % 11), float(i * 5 % 9), 1.1) for i in range(n)],
-                        columns=["mode", "arena", "match_id", "played_at", "a", "b", "frags_a", "frags_b", "ratio"])
-
-
-DUELS = "mode string, arena string, match_id long, played_at timestamp_ntz, a long, b long, frags_a double, frags_b double, ratio double"
-
-
-def test_fold_in_parts_equals_one_fold(spark, tmp_path):
-    rows = duel_rows()
-    whole, _ = rating.fold_rows(rows)
-    first, state = rating.fold_rows(rows[:17])
-    rest, _ = rating.fold_rows(rows[17:], state)
-    assert whole == first + rest
-    df = spark.createDataFrame([[x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in r] for r in rows.values.tolist()], DUELS)
-    history = rating.fold(df.repartition(3))
-    got = sorted((r.match_id, r.player, round(r.mu_after, 9)) for r in history.collect())
-    assert got == sorted((h[2], h[4], round(h[8], 9)) for h in whole)
-    snap = rating.snapshot(history).collect()
-    assert all(r.games == r.wins + r.losses + r.draws and abs(r.conservative - (r.mu - 3 * r.sigma)) < 1e-9 for r in snap)
-    assert rating.arena_ratings(history, 5).count() > 0 and rating.fold(df.filter("false")).count() == 0
-    for k in range(2):
-        df.filter(F.col("match_id") % 40 < 20 if k == 0 else F.col("match_id") >= 20).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
-    src = spark.readStream.schema(DUELS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    q = stream.rated(src).writeStream.format("memory").queryName("history").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted((r.match_id, r.player, round(r.mu_after, 9)) for r in spark.table("history").collect()) == got
 
 
 def test_streams_equal_batches(spark, tmp_path):
