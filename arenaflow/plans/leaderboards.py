@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arenaflow.functions import exprs as X
-from arenaflow.operators import aggs, windows
+from arenaflow.operators import aggs, ranks, windows
 from arenaflow.plans.registry import Tables, query
 
 
@@ -43,8 +43,8 @@ def unpivot_topn(t: Tables):
 @query("SELECT c_custkey, c_nationkey, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS INTEGER) AS place, count(*) OVER (PARTITION BY c_nationkey) AS of FROM customer")
 def rank_count_greater(t: Tables):
     """Rank as the number of strictly greater ones plus 1, with the population's size."""
-    w = W.partitionBy("c_nationkey")
-    return t.customer.select("c_custkey", "c_nationkey", F.rank().over(w.orderBy(F.desc("c_acctbal"))).alias("place"), F.count("*").over(w).alias("of"))
+    placed = ranks.ranked(t.customer.select("c_custkey", "c_nationkey", "c_acctbal"), ["c_nationkey"], "c_acctbal")
+    return placed.select("c_custkey", "c_nationkey", F.col("place").cast("int").alias("place"), "of")
 
 
 @query("""

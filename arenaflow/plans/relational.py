@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from arenaflow.functions import exprs as X
 from arenaflow.functions import names as N
-from arenaflow.operators import aggs, joins
+from arenaflow.operators import aggs, joins, ranks
 from arenaflow.plans.registry import Tables, query
 
 
@@ -203,9 +203,8 @@ def json_agg(t: Tables):
 @query("SELECT c_nationkey AS nationkey, round(quantile_cont(c_acctbal, 0.5), 4) AS exact, list_sort(list(c_acctbal))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS upper, quantile_disc(c_acctbal, 0.5) AS disc FROM customer GROUP BY 1")
 def median_three_ways(t: Tables):
     """The three medians in use, kept apart."""
-    v = F.col("c_acctbal")
-    disc = F.expr("percentile_disc(0.5) within group (order by c_acctbal)")
-    return t.customer.groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.round(aggs.exact_median(v), 4).alias("exact"), aggs.upper_median(v).alias("upper"), disc.alias("disc"))
+    m = ranks.medians(t.customer.select(F.col("c_nationkey").alias("nationkey"), "c_acctbal"), ["nationkey"], "c_acctbal")
+    return m.select("nationkey", F.round("middle", 4).alias("exact"), "upper", F.col("lower").alias("disc"))
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arenaflow.functions import exprs as X
-from arenaflow.operators import aggs, joins, rating, windows
+from arenaflow.operators import aggs, joins, nearest, rating, windows
 from arenaflow.plans.registry import Tables, query
 
 
@@ -69,6 +69,21 @@ def nearest_vector(t: Tables):
     return joins.nearest_in_set(v.select("vec_id", "v"), c, ["vec_id"], d, "nearest").select("vec_id", "nearest")
 
 
+@query("""
+WITH c AS (SELECT min(p_partkey) AS part, CAST(p_retailprice AS DOUBLE) AS price, CAST(p_size AS DOUBLE) AS size FROM part GROUP BY 2, 3),
+p AS (SELECT DISTINCT l_quantity AS q, l_extendedprice / l_quantity AS price, CAST(l_quantity AS DOUBLE) AS size FROM lineitem),
+d AS (SELECT p.q AS q, p.price AS price, arg_min(c.part, (p.price - c.price) * (p.price - c.price) + (p.size - c.size) * (p.size - c.size), 1) AS part,
+  min((p.price - c.price) * (p.price - c.price) + (p.size - c.size) * (p.size - c.size)) AS d2 FROM p, c GROUP BY 1, 2)
+SELECT l.l_orderkey AS orderkey, l.l_linenumber AS line, round(sqrt(d.d2), 6) AS distance FROM lineitem l JOIN d ON d.q = l.l_quantity AND d.price = l.l_extendedprice / l.l_quantity
+""")
+def nearest_part(t: Tables):
+    """The part whose price and size lie nearest to a line's unit price and quantity: neither side is small."""
+    centres = t.part.select(F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"), F.col("p_partkey").alias("part"))
+    lines = t.lineitem.select(F.struct("l_orderkey", "l_linenumber").alias("line"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("size"))
+    near = nearest.nearest(lines, centres, "line", ["price", "size"], "part")
+    return near.select(F.col("line.l_orderkey").alias("orderkey"), F.col("line.l_linenumber").alias("line"), F.round("distance", 6).alias("distance"))
+
+
 @query("SELECT strftime(ts, '%G-%V') AS week, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def iso_week_trend(t: Tables):
     return t.events.groupBy(X.iso_week("ts").alias("week")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
