@@ -202,12 +202,15 @@ def star_pairs(shared: DataFrame, unique: DataFrame) -> DataFrame:
 
 
 def near_in_blocks(every: bool):
-    """Pairs a, b of two blocks (id, root, n, sketch) in different classes whose sketches allow the link: of a set and a class the closest, or all."""
+    """block, other and the pairs a, b of two blocks (id, root, n, sketch) in different classes whose sketches allow the link: of a set and a class the
+    closest, or all."""
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in ("block", "other", "a", "b")}, dtype="int64")
+        met, out = (left["block"].iat[0], left["other"].iat[0]), []
         sizes = [np.array([len(s) // 8 for s in side["sketch"]], np.int64) for side in (left, right)]
-        same = left["block"].iat[0] == right["other"].iat[0] if len(left) and len(right) else False
+        same = met[0] == met[1]
         for words in sorted(set(sizes[0]) | set(sizes[1])):
             rows = [np.flatnonzero((w == words) | (w == 2 * words)) for w in sizes]
             if not len(rows[0]) or not len(rows[1]):
@@ -231,8 +234,8 @@ def near_in_blocks(every: bool):
                 if not every and len(at) > 1:
                     order = np.lexsort((distance, roots2[at]))
                     at = at[order[np.r_[True, np.diff(roots2[at][order]) != 0]]]
-                out += [(min(ids[i], j), max(ids[i], j)) for j in ids2[at].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                out += [(*met, min(ids[i], j), max(ids[i], j)) for j in ids2[at].tolist()]
+        return pd.DataFrame(out, columns=["block", "other", "a", "b"], dtype="int64")
 
     return compare
 
@@ -262,8 +265,7 @@ def near_pairs(members: DataFrame, pairs: DataFrame, state: DataFrame, every: bo
     left = pairs.join(rows, "block").select(*columns)
     # names of its own, as the sides come from the same tables
     right = pairs.join(rows.withColumnRenamed("block", "other"), "other").select(*[F.col(c).alias(c) for c in columns])
-    found = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(near_in_blocks(every), "a long, b long")
-    return found.distinct()
+    return left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(near_in_blocks(every), "block long, other long, a long, b long")
 
 
 def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,7 +285,9 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     state = merged(state, written(verified(pairs, written(texts_of(base, ends_of(pairs), unique), "texts")), "links"))
     members, met = (written(x, "met") for x in still_apart(shared, unique, state))
     for every in (False, True):
-        pairs = written(apart(near_pairs(members, met, state, every), state).select("a", "b"), "near")
+        near = written(near_pairs(members, met, state, every), "near")
+        # blocks without such a pair have none later either, as classes only grow together
+        pairs, met = written(near.select("a", "b").distinct(), "pairs"), near.select("block", "other").distinct()
         state = merged(state, written(verified(pairs, written(texts_of(base, ends_of(pairs), unique), "texts")), "links"))
     of_node = nodes.join(state.select(F.col("id").alias("node"), "root"), "node")
     firsts = of_node.groupBy("root").agg(F.min("first").alias("component"))
