@@ -42,6 +42,10 @@ def restored(blob: pd.Series) -> pd.Series:
     return blob.map(z.decompress)
 
 
+def digest_of(payload: str) -> Column:
+    return F.sha2(payload, 256)
+
+
 def record_id(page_id: Column) -> Column:
     h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit(""))))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
@@ -77,15 +81,14 @@ def field(name: str) -> Column:
 def write_archive(pages: DataFrame, path: str, least: int = LEAST) -> None:
     """Writes ``path/headers`` and ``path/payloads`` for a record of each row of page_id, url, html; raises if a digest has unequal payloads."""
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumns(
-        {"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")}
+        {"digest": digest_of("payload"), "bytes": F.octet_length("payload").cast("long")}
     )
     second = F.xxhash64("payload")
-    rows.select("digest", "bytes", second.alias("second"), F.pandas_udf(packed, "binary")("payload").alias("blob")).groupBy("digest").agg(
-        F.first("blob").alias("blob"), F.min("bytes").alias("bytes"),
-        F.assert_true(
-            (F.min("bytes") == F.max("bytes")) & (F.min("second") == F.max("second")), F.lit("one digest, unequal payloads")
-        ).alias("equal"),
-    ).drop("equal", "bytes").write.parquet(f"{path}/payloads")
+    equal = (F.min("bytes") == F.max("bytes")) & (F.min("second") == F.max("second"))
+    # the check decides on the column that is written, else the optimizer drops it
+    blob = F.when(equal, F.first("blob")).otherwise(F.raise_error(F.lit("one digest, unequal payloads")).cast("binary"))
+    packs = rows.select("digest", "bytes", second.alias("second"), F.pandas_udf(packed, "binary")("payload").alias("blob"))
+    packs.groupBy("digest").agg(blob.alias("blob")).write.parquet(f"{path}/payloads")
     heads = rows.select("page_id", "url", "digest", "bytes")
     owners = heads.groupBy("digest").agg(F.min("page_id").alias("owner"))
     (

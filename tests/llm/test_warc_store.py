@@ -49,6 +49,16 @@ def test_a_damaged_payload_raises(spark, archive, tmp_path):
         ws.read_archive(spark, str(tmp_path / "b")).collect()
 
 
+def test_one_digest_with_unequal_payloads_raises(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ws, "digest_of", lambda payload: F.lit("same"))
+    for n, texts in enumerate((["A" * 200, "B" * 333], ["A" * 200, "B" * 200])):
+        pages = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+        with pytest.raises(Exception, match="unequal payloads"):
+            ws.write_archive(pages, str(tmp_path / str(n)))
+
+
 def test_empty(spark, tmp_path):
     ws.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
     assert ws.read_archive(spark, str(tmp_path / "e")).count() == 0
