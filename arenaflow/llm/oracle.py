@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arenaflow.llm import url_filter
+from arenaflow.llm import pii, url_filter
 
 OP7 = """
 WITH p AS (
@@ -70,7 +70,7 @@ def op3() -> str:
         ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) < 4 AND coalesce(try_cast(nullif(ltrim(p, '0'), '') AS INTEGER), 0) <= 255))"),
         ("card", r"[0-9]([\x20-]?[0-9])+", "CASE WHEN length(d) BETWEEN 14 AND 19 THEN list_sum(list_transform(range(length(d)), lambda i: CASE WHEN i % 2 = 1 THEN [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][1 + CAST(d[length(d) - i] AS INTEGER)] ELSE CAST(d[length(d) - i] AS INTEGER) END)) % 10 = 0 ELSE false END"),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15"),
-        ("iban", r"[A-Z]{2}[0-9]{2}((\x20[A-Z0-9]{4}){2,7}(\x20[A-Z0-9]{0,2}[0-9])?|[A-Z0-9]{11,30})", "around = '' AND list_reduce(list_transform(string_split(replace(m, ' ', '')[5:] || replace(m, ' ', '')[:4], ''), lambda c: CASE WHEN c < 'A' THEN ascii(c) - 48 ELSE ascii(c) - 55 END), lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97, 0) = 1"),
+        ("iban", pii.IBAN.replace("(?:", "("), "around = '' AND list_reduce(list_transform(string_split(replace(m, ' ', '')[5:] || replace(m, ' ', '')[:4], ''), lambda c: CASE WHEN c < 'A' THEN ascii(c) - 48 ELSE ascii(c) - 55 END), lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97, 0) = 1"),
         ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "around = '' AND regexp_matches(lower(t[greatest(s - 40, 0) + 1 : s] || chr(10) || t[e + 1 : e + 40]), 'ssn|social security')"),
     ]
     parts = [f"""

@@ -37,6 +37,25 @@ class Kind:
     bounded: bool = False
 
 
+#: Length of an account code by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """Account codes of each country's length, in one piece or in groups of four, so that a word or number behind one is no part of it."""
+    forms = []
+    for length, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(length - 4, 4)
+        spaced = rf"(?:\x20[A-Z0-9]{{4}}){{{groups}}}" + (rf"\x20[A-Z0-9]{{{rest}}}" if rest else "")
+        forms.append(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{length - 4}}}|{spaced})")
+    return "(?:" + "|".join(forms) + ")"
+
+
+IBAN = iban_pattern()
 # The possessive quantifiers and the look-behind change no match: they keep long runs of one class from being tried again at each place.
 #: Kinds in order, with their patterns.
 KINDS = (
@@ -44,7 +63,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "0", 0.5, ("address", "host", "server", "login")),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "0", 0.7, ("card", "visa", "credit", "payment")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, ("phone", "call", "tel", "mobile")),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{0,2}[0-9])?|[A-Z0-9]{11,30})", "0", 0.7, ("iban", "account", "bank"), base=False, bounded=True),
+    Kind("iban", IBAN, "0", 0.7, ("iban", "account", "bank"), base=False, bounded=True),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "0", 0.2, ("ssn", "social security"), base=False, bounded=True),
 )
 #: Added to the score if a context word stands within CONTEXT characters before or after.

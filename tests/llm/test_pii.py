@@ -65,6 +65,31 @@ def test_iban_before_other_words(spark):
     assert got == {0: ["iban:0:27"], 1: ["iban:4:23"], 2: ["iban:0:22"]}
 
 
+def iban(country, account):
+    """A valid code of an account number, in groups of four."""
+    turned = "".join(str(int(c, 36)) for c in account + country + "00")
+    code = f"{country}{98 - int(turned) % 97:02d}{account}"
+    return " ".join(code[i : i + 4] for i in range(0, len(code), 4))
+
+
+def test_iban_before_capitals_and_numbers(spark):
+    """Codes whose groups are full must not swallow the next word or number."""
+    given = ["AT61 1904 3002 3457 3201 BANK of", "ES91 2100 0418 4502 0005 1332 2024 paid"]
+    given += [f"{iban(c, a)} {after}" for c, a in (("BE", "539007547034"), ("SE", "50000000058398257466"), ("PL", "109010140000071219812874"), ("NO", "86011117947"), ("MT", "MALT011000012345MTLCAST001S"))
+              for after in ("BANK", "2024", "ACME 2024", "12")]
+    docs = spark.createDataFrame(list(enumerate(f"IBAN {t}" for t in given)), "doc_id long, text string")
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("iban")] for r in pii.summary(docs).collect()}
+    size = {"AT": 24, "ES": 29, "BE": 19, "SE": 29, "PL": 34, "NO": 18, "MT": 38}
+    assert got == {i: [f"iban:5:{5 + size[t[:2]]}"] for i, t in enumerate(given)}
+    wrong = spark.createDataFrame([(1, "IBAN AT61 1904 3002 3457 3202 BANK"), (2, "XX61 1904 3002 3457 3201")], "doc_id long, text string")
+    assert not any("iban" in r.spans for r in pii.summary(wrong).collect())
+
+
+def test_redact_beside_a_column_of_the_same_name(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.org", "kept", 3)], "doc_id long, text string, spans string, pieces int")
+    assert tuple(pii.redact(docs).first()) == (1, "mail [EMAIL]", "kept", 3)
+
+
 def test_cost_grows_with_the_number_of_spans(spark):
     """Sixteen thousand spans in one text, with astral characters between them; a quadratic way takes minutes."""
     parts = ["é😀 mail a.b@c.org, host 10.0.0.7 é", "123-45-6789 ssn, 4041894974608795 😀", "call +49 30 901820 now 1.2.3"]
