@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 ALONE, MOST_RANGES = 100_000, 10_000
 
 
-def counted_upto(rows: DataFrame, keys: list[str], value: str, alone: int = ALONE) -> DataFrame:
+def counted_upto(rows: DataFrame, keys: list[str], value: str, alone: int = ALONE, weight: Column | None = None) -> DataFrame:
     """keys, value, k (rows that have it), upto (rows of the group with at most this value) and n (rows of the group), one row for every different value;
-    null values are left out. ``value`` is numeric."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("k"))
+    null values are left out. ``value`` is numeric. With ``weight``, rows count as much as that says."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("k"))
     sizes = counts.groupBy(*keys).agg(F.count("*").alias("__m"), F.sum("k").alias("n"))
     largest = sizes.agg(F.max("__m").alias("m")).first()["m"] or 0
     if largest <= alone:
