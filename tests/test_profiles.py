@@ -53,7 +53,7 @@ def test_windows_side_by_side(spark):
     p, m = tables(spark)
     rows = profiles.profile_change(profiles.outcomes(p, m), datetime(2024, 3, 5), 30).collect()
     got = {(r.canonical_id, r.slice, r.member): (r.matches, r.matches_before) for r in rows}
-    assert got["A", "mode", "4on4"] == (2, 1) and got["A", "mode", "1on1"] == (1, 2)
+    assert got["A", "mode", "4on4"] == (2, 1) and got["A", "mode", "1on1"] == (1, 3)
 
 
 def test_formats(spark):
