@@ -47,7 +47,7 @@ AVERAGES = {
     "avg_ping": "player_ping",
 }
 #: The columns that the expressions read.
-COUNTS = sorted({w for text in [*AVERAGES.values(), *(s[2] for s in STATS.values())] for w in text.replace("(", " ").replace(")", " ").replace(",", " ").split() if w.startswith("player_")})
+COUNTS = sorted({"player_rl_directs"} | {w for text in [*AVERAGES.values(), *(s[2] for s in STATS.values())] for w in text.replace("(", " ").replace(")", " ").replace(",", " ").split() if w.startswith("player_")})
 #: Axes of the skill profile and attributes of the cards.
 AXES = {"lg_accuracy": STATS["lg_pct"][2], "rl_accuracy": STATS["rl_pct"][2], "avg_ddr": STATS["ddr"][2], "avg_frag_diff": STATS["frag_diff"][2], "avg_net_dmg": STATS["net_dmg"][2]}
 CARDS = {

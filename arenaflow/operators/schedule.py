@@ -131,3 +131,34 @@ def preview(challenges: DataFrame, games: DataFrame, strength: DataFrame) -> Dat
         "id", "meetings", F.round(p, 6).alias("probability"), X.market_line(p).alias("line_a"), X.market_line(1 - p).alias("line_b"),
         F.round(X.expected_maps(p), 6).alias("maps"), (F.bround(a_map * X.expected_maps(p) * 2) / 2).alias("total"),
     )
+
+
+#: Days of a weekly grid, Monday first, and the last hour of a row: 24 to 26 are the hours after midnight of that night.
+DAYS, LAST_HOUR = ("mon", "tue", "wed", "thu", "fri", "sat", "sun"), 26
+
+
+def clean_availability(grid: Column | str) -> Column:
+    """A weekly grid (map of day to array of hours) with known days and hours 0 to LAST_HOUR only, each once and in order; days without hours go, and a
+    grid without days is null."""
+    grid = F.col(grid) if isinstance(grid, str) else grid
+    hours = F.transform_values(grid, lambda _, hs: F.array_sort(F.array_distinct(F.filter(F.coalesce(hs, F.array().cast("array<int>")), lambda h: h.between(0, LAST_HOUR)))))
+    kept = F.map_filter(hours, lambda d, hs: d.isin(*DAYS) & (F.size(hs) > 0))
+    return F.when(F.size(kept) > 0, kept)
+
+
+def grid_hour(slot: Column | str, zone: Column | str | None = None) -> Column:
+    """(day, hour) of a weekly grid for an instant (UTC) in a zone: the hours to two in the morning belong to the day before, as 24 to 26."""
+    slot = F.col(slot) if isinstance(slot, str) else slot
+    zone = F.lit("America/New_York") if zone is None else F.coalesce(F.col(zone) if isinstance(zone, str) else zone, F.lit("America/New_York"))
+    local = F.convert_timezone(F.lit("UTC"), zone, slot)
+    night = F.hour(local) <= 2
+    day = F.pmod(F.dayofweek(local) + F.lit(5) - night.cast("int"), F.lit(7))
+    names = F.array(*[F.lit(d) for d in DAYS])
+    return F.struct(F.element_at(names, (day + 1).cast("int")).alias("day"), (F.hour(local) + F.when(night, 24).otherwise(0)).cast("int").alias("hour"))
+
+
+def in_availability(slot: Column | str, zone: Column | str | None, grid: Column | str) -> Column:
+    """Whether a weekly grid holds an instant; false without a grid or an instant."""
+    at = grid_hour(slot, zone)
+    grid = F.col(grid) if isinstance(grid, str) else grid
+    return F.coalesce(F.array_contains(F.element_at(grid, at["day"]), at["hour"]), F.lit(False))

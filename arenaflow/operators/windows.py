@@ -7,23 +7,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def islands(rows: DataFrame, keys: list[str], at: str, breaks: Column, name: str = "island") -> DataFrame:
-    """Numbers runs of rows between breaks; ``breaks`` may use lag over the same keys and order."""
-    w = W.partitionBy(*keys).orderBy(at)
+def islands(rows: DataFrame, keys: list[str], at: str, breaks: Column, name: str = "island", tie: str | None = None) -> DataFrame:
+    """Numbers runs of rows between breaks; ``breaks`` may use lag over the same keys and order. Rows with equal times come by ``tie``."""
+    w = W.partitionBy(*keys).orderBy(*[c for c in (at, tie) if c])
     return rows.withColumn("__b", F.coalesce(breaks.cast("int"), F.lit(0))).withColumn(name, F.sum("__b").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__b")
 
 
-def rising_edges(rows: DataFrame, keys: list[str], at: str, condition: Column) -> DataFrame:
-    """Times at which a condition becomes true, counted for each key."""
+def rising_edges(rows: DataFrame, keys: list[str], at: str, condition: Column, tie: str | None = None) -> DataFrame:
+    """Times at which a condition becomes true, counted for each key. Rows with equal times come by ``tie``."""
     now = F.coalesce(condition, F.lit(False))
-    w = W.partitionBy(*keys).orderBy(at)
+    w = W.partitionBy(*keys).orderBy(*[c for c in (at, tie) if c])
     edge = rows.withColumn("__c", now).withColumn("__e", F.col("__c") & ~F.coalesce(F.lag("__c").over(w), F.lit(False)))
     return edge.groupBy(*keys).agg(F.count_if("__e").alias("edges"))
 
 
-def time_to_next(rows: DataFrame, keys: list[str], at: Column, order: str, condition: Column) -> Column:
-    """Time of the next row (this one included) for which the condition holds; read backwards, so that the frame only grows."""
-    return F.min(F.when(condition, at)).over(W.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0))
+def time_to_next(rows: DataFrame, keys: list[str], at: Column, order: str, condition: Column, tie: str | None = None) -> Column:
+    """Time of the next row (this one included) for which the condition holds; read backwards, so that the frame only grows. Of rows with
+    equal times those with a greater ``tie`` come later."""
+    return F.min(F.when(condition, at)).over(W.partitionBy(*keys).orderBy(*[F.desc(c) for c in (order, tie) if c]).rowsBetween(W.unboundedPreceding, 0))
 
 
 def first_to(rows: DataFrame, keys: list[str], order: list[str], side: str, target: int) -> DataFrame:

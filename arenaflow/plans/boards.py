@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arenaflow.functions import exprs as X
-from arenaflow.operators import profiles
+from arenaflow.operators import ladder, profiles
 from arenaflow.plans.registry import Tables, query
 
 #: Each count of a player row: a sum over the lines, different for every column.
@@ -202,3 +202,67 @@ SELECT canonical_id, any_value(matches) AS matches, {", ".join(f"max(rating) FIL
 def rating_cards(t: Tables):
     """Cards of 0 to 99: aim and control among the established players."""
     return profiles.cards(players(t), matches(t))
+
+
+#: A map of each line: its frags for the customer's and the supplier's side.
+SERIES_SQL = "g AS (SELECT l_orderkey AS id, l_linenumber AS game, l_returnflag || l_linestatus AS map, CAST(l_quantity AS INTEGER) AS a, CAST(l_partkey % 50 AS INTEGER) AS b FROM lineitem)"
+
+
+def series(t: Tables) -> DataFrame:
+    game = F.struct(F.col("l_linenumber").alias("n"), F.concat("l_returnflag", "l_linestatus").alias("map"), F.col("l_quantity").cast("int").alias("a_frags"), (F.col("l_partkey") % 50).cast("int").alias("b_frags"))
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(game)).alias("maps"))  # an order has seven lines at most
+    return lines.select("id", F.transform("maps", lambda m: F.struct(m["map"].alias("map"), m["a_frags"].alias("a_frags"), m["b_frags"].alias("b_frags"))).alias("maps"))
+
+
+@query(f"""
+WITH {SERIES_SQL}, c AS (SELECT *, row_number() OVER w AS n, count(*) FILTER (a > b) OVER w AS x, count(*) FILTER (b > a) OVER w AS y FROM g WINDOW w AS (PARTITION BY id ORDER BY game)),
+d AS (SELECT *, coalesce(max(CAST(greatest(x, y) >= 2 AS INTEGER)) OVER (PARTITION BY id ORDER BY game ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+s AS (SELECT map, count(*) AS played, count(*) FILTER (n = 1) AS first_pick, count(*) FILTER (greatest(x, y) >= 2 AND before = 0) AS decider, round(avg(a + b) + 1e-9, 6) AS avg_total FROM d GROUP BY 1)
+SELECT *, round(100.0::DOUBLE * played / sum(played) OVER (), 1) AS played_pct, round(100.0::DOUBLE * first_pick / sum(first_pick) OVER (), 1) AS first_pick_pct, round(100.0::DOUBLE * decider / sum(decider) OVER (), 1) AS decider_pct FROM s
+""")
+def ladder_maps(t: Tables):
+    """How often each map is played, picked first and decides a series."""
+    return rounded(ladder.map_stats(series(t)), ["avg_total"])
+
+
+@query(f"""
+WITH {SERIES_SQL}, m AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY game) - 1 AS game, map, abs(a - b) AS margin FROM g),
+u AS (SELECT 'closest' AS kind, *, margin AS o FROM m UNION ALL SELECT 'widest', *, -margin FROM m)
+SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY o, id, game) AS INTEGER) AS place, id, CAST(game AS INTEGER) AS game, map, margin FROM u QUALIFY place <= 5
+""")
+def ladder_margins(t: Tables):
+    """The closest and the widest games."""
+    return ladder.margins(series(t))
+
+
+LADDER_SQL = (
+    ", ".join(f"round(avg({n}) + 1e-9, 1) AS {n}" for n in ("frags", "deaths", "suicides", "tk", "dmg_given", "dmg_taken", "ya", "ra", "mh", "quad"))
+    + ", "
+    + ", ".join(f"coalesce(round(100.0::DOUBLE * sum({n}0) / nullif(sum({n}1), 0) + 1e-9, 1), 0) AS {n}" for n in ("eff", "sg", "lg", "rl"))
+)
+
+
+def ladder_query_sql(keys: str, rows: str) -> str:
+    sums = ", ".join([f"sum(coalesce({e}, 0)) AS {n}" for n, e in ladder.AVERAGED.items()] + [f"sum(coalesce({e}, 0)) AS {n}{i}" for n, pair in ladder.SHARED.items() for i, e in enumerate(pair)])
+    return f"SELECT {keys}, count(*) AS maps, {LADDER_SQL} FROM (SELECT {keys}, match_id, {sums} FROM ({rows}) GROUP BY {keys}, match_id) GROUP BY {keys}"
+
+
+@query(f"WITH {PLAYERS} {ladder_query_sql('team_id', 'SELECT p.*, s_nationkey AS team_id FROM p JOIN supplier ON s_suppkey = canonical_id JOIN m USING (match_id) WHERE match_dmm = 1')}")
+def ladder_teams(t: Tables):
+    """Teams (nations of suppliers) over the games of their matches: averages of a game and shares of sums."""
+    p, games = players(t), matches(t).filter("match_dmm = 1").select(F.col("match_id").alias("game_id"))
+    rows = p.join(games, p.match_id == games.game_id)
+    teams = t.supplier.groupBy(F.col("s_nationkey").cast("long").alias("team_id")).agg(F.collect_list("s_suppkey").alias("members"))  # a roster
+    home = t.supplier.select(F.col("s_suppkey").alias("canonical_id"), F.col("s_nationkey").cast("long").alias("team"))
+    sides = rows.join(home, "canonical_id").select("game_id", "team").distinct()
+    played = sides.select(F.col("team").alias("team_a_id"), F.col("team").alias("team_b_id"), F.array("game_id").alias("game_ids"))
+    return ladder.team_stats(teams, played, rows).filter("maps > 0")
+
+
+@query(f"WITH {PLAYERS}, k AS ({ladder_query_sql('canonical_id', 'SELECT p.* FROM p JOIN m USING (match_id) WHERE match_dmm = 1 AND canonical_id IS NOT NULL')}) SELECT k.*, CAST(s_nationkey AS BIGINT) AS team_id FROM k JOIN supplier ON s_suppkey = canonical_id")
+def ladder_players(t: Tables):
+    """The same for players."""
+    p, games = players(t), matches(t).filter("match_dmm = 1").select(F.col("match_id").alias("game_id"))
+    teams = t.supplier.groupBy(F.col("s_nationkey").cast("long").alias("team_id")).agg(F.collect_list("s_suppkey").alias("members"))
+    played = games.select(F.lit(0).alias("team_a_id"), F.lit(1).alias("team_b_id"), F.array("game_id").alias("game_ids"))
+    return ladder.player_stats(teams, played, p.join(games, p.match_id == games.game_id))

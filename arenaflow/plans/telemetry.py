@@ -112,11 +112,11 @@ def zero_fill_weeks(t: Tables):
 
 
 @query("""
-WITH e AS (SELECT user_id, ts, value > 50 AS c, coalesce(lag(value > 50) OVER (PARTITION BY user_id ORDER BY ts), false) AS p FROM events)
+WITH e AS (SELECT user_id, ts, value > 50 AS c, coalesce(lag(value > 50) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS p FROM events)
 SELECT user_id, count(*) FILTER (c AND NOT p) AS edges FROM e GROUP BY 1
 """)
 def rising_edge(t: Tables):
-    return windows.rising_edges(t.events.select("user_id", "ts", "value"), ["user_id"], "ts", F.col("value") > 50)
+    return windows.rising_edges(t.events.select("user_id", "ts", "event_id", "value"), ["user_id"], "ts", F.col("value") > 50, "event_id")
 
 
 @query("""
@@ -134,7 +134,7 @@ def islands(t: Tables):
 
 @query("SELECT event_id, min(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_purchase FROM events")
 def time_to_next(t: Tables):
-    c = windows.time_to_next(t.events, ["user_id"], F.col("ts"), "ts", F.col("event_type") == "purchase")
+    c = windows.time_to_next(t.events, ["user_id"], F.col("ts"), "ts", F.col("event_type") == "purchase", "event_id")
     return t.events.select("event_id", c.alias("next_purchase"))
 
 

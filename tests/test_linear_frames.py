@@ -28,3 +28,12 @@ def test_padding_leaves_own_rows_out(spark):
     pool = spark.createDataFrame([(k, i, v) for k in (1, 2) for i, v in ((20, 9.0), (10, 5.0), (30, 1.0))], "k int, id int, v double")
     got = sorted((r.k, r.place, r.id) for r in windows.padded_top(own, pool, "k", ["id"], [F.desc("v")], 3).collect())
     assert got == [(1, 1, 10), (1, 2, 20), (1, 3, 30), (2, 1, 20), (2, 2, 10), (2, 3, 30)]
+
+
+def test_equal_times_come_by_their_tie(spark):
+    rows = spark.createDataFrame([("u", 1, 1, False), ("u", 1, 2, True), ("u", 1, 3, False), ("u", 2, 4, True)], "user string, at long, id long, hit boolean")
+    got = {r.id: r.t for r in rows.withColumn("t", windows.time_to_next(rows, ["user"], F.col("at"), "at", F.col("hit"), "id")).collect()}
+    assert got == {1: 1, 2: 1, 3: 2, 4: 2}
+    assert windows.rising_edges(rows, ["user"], "at", F.col("hit"), "id").first().edges == 2
+    runs = windows.islands(rows, ["user"], "at", F.col("hit"), tie="id")
+    assert {r.id: r.island for r in runs.collect()} == {1: 0, 2: 1, 3: 1, 4: 2}

@@ -92,7 +92,7 @@ def test_near_duplicate_matches(spark):
 def test_ladder(spark):
     moves = spark.createDataFrame([(1, 10, 1, 1), (2, 11, 2, 1), (3, 12, 3, 1), (4, 10, 2, 2), (5, 11, 1, 2)], "id long, team_id long, to_rung int, at long")
     assert {r.team_id: r.rung for r in ladder.standings(moves).collect()} == {10: 2, 11: 1, 12: 3}
-    assert {r.team_id: r.rung for r in ladder.after_win(ladder.standings(moves), 12, 11).collect()} == {12: 1, 11: 2, 10: 3}
+    assert {r.team_id: r.rung for r in ladder.after_win(ladder.standings(moves), 12, 11).collect()} == {12: 1, 11: 3, 10: 2}
     maps = [("a", 5, 3), ("b", None, 1), ("c", 4, 4), ("d", 9, 1), ("e", 0, 9)]
     s = spark.createDataFrame([(1, 10, 11, 10, maps), (2, 10, 12, None, [])], "id long, team_a_id long, team_b_id long, winner_id long, maps array<struct<map:string,a_frags:int,b_frags:int>>").withColumn("played_at", F.current_date())
     assert [tuple(r) for r in ladder.series_result(s).collect()] == [(1, 2, 0, "a")] and ladder.series_games(s).count() == 4
