@@ -215,8 +215,8 @@ def series(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH {SERIES_SQL}, c AS (SELECT *, row_number() OVER w AS n, count(*) FILTER (a > b) OVER w AS x, count(*) FILTER (b > a) OVER w AS y FROM g WINDOW w AS (PARTITION BY id ORDER BY game)),
-d AS (SELECT *, coalesce(max(CAST(greatest(x, y) >= 2 AS INTEGER)) OVER (PARTITION BY id ORDER BY game ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+WITH {SERIES_SQL}, c AS (SELECT *, row_number() OVER w AS n, count(*) FILTER (a > b) OVER w AS x, count(*) FILTER (b > a) OVER w AS y FROM g WINDOW w AS (PARTITION BY id ORDER BY game, map, a, b ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, coalesce(max(CAST(greatest(x, y) >= 2 AS INTEGER)) OVER (PARTITION BY id ORDER BY game, map, a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
 s AS (SELECT map, count(*) AS played, count(*) FILTER (n = 1) AS first_pick, count(*) FILTER (greatest(x, y) >= 2 AND before = 0) AS decider, round(avg(a + b) + 1e-9, 6) AS avg_total FROM d GROUP BY 1)
 SELECT *, round(100.0::DOUBLE * played / sum(played) OVER (), 1) AS played_pct, round(100.0::DOUBLE * first_pick / sum(first_pick) OVER (), 1) AS first_pick_pct, round(100.0::DOUBLE * decider / sum(decider) OVER (), 1) AS decider_pct FROM s
 """)
@@ -226,7 +226,7 @@ def ladder_maps(t: Tables):
 
 
 @query(f"""
-WITH {SERIES_SQL}, m AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY game) - 1 AS game, map, abs(a - b) AS margin FROM g),
+WITH {SERIES_SQL}, m AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY game, map, a, b) - 1 AS game, map, abs(a - b) AS margin FROM g),
 u AS (SELECT 'closest' AS kind, *, margin AS o FROM m UNION ALL SELECT 'widest', *, -margin FROM m)
 SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY o, id, game) AS INTEGER) AS place, id, CAST(game AS INTEGER) AS game, map, margin FROM u QUALIFY place <= 5
 """)
