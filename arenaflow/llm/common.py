@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -21,6 +23,18 @@ def counted(df: DataFrame, name: str, which: Column) -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Inside, Python functions get at most so many rows at a time: what is written there needs memory for as many long texts only."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def hashed(words: list[str]) -> np.ndarray:
     """A 64-bit value for every word, the same in every process."""
     if not words:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arenaflow.llm.common import chunks, counted, hashed, text_or_empty, written
+from arenaflow.llm.common import arrow_rows, chunks, counted, hashed, text_or_empty, written
 
 RUN, SKETCHES, PICKED, SIMILARITY, SEED = 5, 80, 2, 0.8, 5
 #: Texts of at most FEW words have further sketches, over shorter runs.
@@ -48,7 +48,9 @@ CLASSES, SMALL = 256, 1_000_000
 #: Texts up to so many words are aligned with bits of integers: faster there where the edits are many.
 SHORT = 600
 #: Words whose hashes a batch of pairs keeps.
-KEPT = 4_000_000
+KEPT = 1_000_000
+#: Rows, so texts or pairs of texts, that a Python worker gets at a time.
+AT_ONCE = 1000
 #: Texts and words in each side of a block of texts and members; pairs of a text that the first round of verifying takes.
 BLOCK, BLOCK_WORDS, FIRST_ROUND = 64, 100_000, 8
 #: Members outside its largest class up to which a bucket's classes meet directly (and members of a class that is joined row by row); words
@@ -531,6 +533,12 @@ def numbered(firsts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id (smallest id of the class) and is_first (the row's id is the class's) of every row. Classes are found among different
     texts; copies take part by their digest at the end, so that their number makes no links."""
+    with arrow_rows(docs.sparkSession, AT_ONCE):
+        return found_classes(docs, id_col, text_col)
+
+
+def found_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``classes``: all that needs Python is written before this returns."""
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     raw = F.xxhash64("text").alias("raw")  # tells the texts of one id apart
     marked = written(base.select("id", raw, F.pandas_udf(sketched, SKETCHED)("text").alias("s")).select("id", "raw", "s.*"), "sketches")
