@@ -182,3 +182,60 @@ def opening_score(runs: DataFrame, marks: DataFrame, never: float = 12.0, tier:
     eff = F.least(F.lit(1.0), best("s", never) / F.greatest(F.coalesce("to_stack", F.lit(never)), F.lit(0.3)))
     item = F.least(F.lit(1.0), F.col("item_tier") / F.greatest(best("i", tier), F.lit(0.5)))
     return r.select(*runs.columns, F.round(0.5 * eff + 0.3 * F.col("result") + 0.2 * item, 6).alias("score"))
+
+
+#: Fixed values of the track dials: the speed beyond which a step is a glitch, vertical speeds of the air and of a jump, the speed and least seconds of a pause,
+#: the least speed at which a heading counts.
+GLITCH, AIR, JUMP, STILL, PAUSE, MOVING = 5000.0, 40.0, 200.0, 30.0, 0.30, 50.0
+#: Fixed value: the stack by which the best are ahead at their kills.
+KILL_LEAD = 82
+
+
+def track_dials(samples: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """A row for each of ``keys`` with two samples at least: frames, seconds, mean speed and its percentiles, share of steps in the air, jumps, pauses and
+    their seconds, turn rate percentiles, and the correlation of view and heading rates with its number of pairs (0 for none or a constant side).
+
+    ``samples``: x, y, z, yaw (degrees) at times in seconds. A step is from one sample to the next later one; steps that are too fast (a teleport) count for nothing
+    but for breaking a heading. Equal times make no step."""
+    w = W.partitionBy(*keys).orderBy(at)
+    back = lambda c: F.lag(c).over(w)
+    one = samples.groupBy(*keys).agg(F.count("*").alias("frames"), (F.max(at) - F.min(at)).alias("seconds")).filter("frames >= 2")
+    s = samples.withColumns({"__dt": F.col(at) - back(at)} | {f"__d{c}": F.col(c) - back(c) for c in ("x", "y", "z", "yaw")}).filter("__dt > 0")
+    s = s.withColumns({f"__v{c}": F.col(f"__d{c}") / F.col("__dt") for c in "xyz"}).withColumn("__turn", X.shortest_arc(F.col("__dyaw"), F.lit(0.0)) / F.col("__dt"))
+    s = s.withColumn("__speed", F.hypot("__vx", "__vy"))
+    s = s.withColumn("__fine", (F.col("__speed") <= GLITCH) & (F.abs("__vz") <= GLITCH))
+    heading = F.when(F.col("__fine") & (F.col("__speed") >= MOVING), F.degrees(F.atan2("__vy", "__vx")))
+    s = s.withColumn("__heading", heading).withColumn("__swing", X.shortest_arc(F.col("__heading"), back("__heading")) / F.col("__dt"))
+    f = s.filter("__fine").withColumn("__up", F.col("__vz") > JUMP).withColumn("__slow", F.col("__speed") < STILL)
+    f = f.withColumn("__jump", F.col("__up") & ~F.coalesce(F.lag("__up").over(w), F.lit(False)))
+    f = f.withColumn("__stops", F.sum((~F.col("__slow")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    runs = f.filter("__slow").groupBy(*keys, "__stops").agg(F.sum("__dt").alias("s")).filter(F.col("s") >= PAUSE)
+    pauses = runs.groupBy(*keys).agg(F.count("*").alias("pauses"), F.sum("s").alias("paused"))
+    both = F.col("__swing").isNotNull()
+    dials = f.groupBy(*keys).agg(
+        F.round(F.avg("__speed"), 2).alias("speed_mean"), *[F.round(F.percentile("__speed", p / 100), 2).alias(f"speed_p{p}") for p in (50, 95, 99)],
+        F.round(100.0 * F.count_if(F.abs("__vz") > AIR) / F.count("*"), 1).alias("airborne_pct"), F.count_if("__jump").alias("jumps"),
+        *[F.round(F.percentile(F.abs("__turn"), p / 100), 1).alias(f"turn_p{p}") for p in (50, 95)],
+        F.round(F.coalesce(F.nanvl(F.corr(F.when(both, F.col("__turn")), F.col("__swing")), F.lit(0.0)), F.lit(0.0)), 3).alias("coupling"), F.count_if(both).alias("coupled"))
+    out = one.join(dials, keys, "left").join(pauses, keys, "left")
+    return out.withColumn("pauses", F.when(F.col("speed_mean").isNotNull(), F.coalesce("pauses", F.lit(0)))).withColumn("paused", F.when(F.col("speed_mean").isNotNull(), F.round(F.coalesce("paused", F.lit(0.0)), 2)))
+
+
+def discipline(stacks: DataFrame) -> DataFrame:
+    """The lever of picking fights: ``stacks`` with kill_lead, death_deficit, below and priority: how far the lead at one's kills lies below that of the best,
+    counted twice. ``stacks``: own and enemy stack at kills and at deaths (own_kill, enemy_kill, own_death, enemy_death); rows without both at kills go."""
+    lead = F.bround(F.col("own_kill") - F.col("enemy_kill"))
+    rows = stacks.filter("own_kill is not null and enemy_kill is not null").withColumns({"kill_lead": lead, "death_deficit": F.bround(F.col("own_death") - F.col("enemy_death"))})
+    gap = F.greatest(KILL_LEAD - F.col("kill_lead"), F.lit(0.0)) / KILL_LEAD
+    return rows.withColumns({"below": F.col("kill_lead") < KILL_LEAD, "priority": F.round(gap * 2.0, 3)})
+
+
+def win_split(games: DataFrame, keys: list[str], means: list[str], pooled: dict[str, tuple[str, str]]) -> DataFrame:
+    """For each of ``keys`` the number of games, wins and losses, the mean of every measure over won, lost and all games (*_win, *_loss, *_all, to one
+    digit), and the pooled rates sum / sum, so that every decision weighs the same and not every game. ``games``: result (W, L or other)."""
+    parts = {"win": F.col("result") == "W", "loss": F.col("result") == "L", "all": F.lit(True)}
+    cols = [F.count("*").alias("games"), F.count_if(parts["win"]).alias("wins"), F.count_if(parts["loss"]).alias("losses")]
+    for part, where in parts.items():
+        cols += [F.round(F.avg(F.when(where, F.col(m))) + 1e-9, 1).alias(f"{m}_{part}") for m in means]
+        cols += [F.round(F.try_divide(F.sum(F.when(where, F.col(a))), F.sum(F.when(where, F.col(b)))) + 1e-9, 3).alias(f"{n}_{part}") for n, (a, b) in pooled.items()]
+    return games.groupBy(*keys).agg(*cols)

@@ -104,3 +104,25 @@ def near_duplicate_matches(matches: DataFrame, players: DataFrame, minutes: int
     w = W.partitionBy("match_map", "sig").orderBy("t", "match_id")
     runs = m.join(both, ["match_map", "sig"], "left_semi").withColumn("b", (F.col("t") - F.lag("t").over(w) > minutes * 60).cast("int")).withColumn("run", F.sum(F.coalesce("b", F.lit(0))).over(w))
     return runs.groupBy("match_map", "sig", "run").applyInPandas(greedy, "kept long, dropped long")
+
+
+def alnum(name: str):
+    """Letters and digits of a name in lower case."""
+    return F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", "")
+
+
+def resolve_key(wanted: DataFrame, known: DataFrame, least: int = SHORTEST) -> DataFrame:
+    """group, name, key and kind (0 exact, 1 but for case, 2 but for other signs, 3 one's letters begin the other's) of every wanted name (group, name): the best
+    kind, then the smallest key, of the group's known keys (group, key). Names of one group only meet its keys. For the last kind both
+    have ``least`` letters at least, and each meets the other by its whole form among the other's beginnings: equi joins throughout."""
+    w = wanted.distinct().withColumn("form", alnum("name"))
+    k = known.select("group", "key").distinct().withColumn("form", alnum("key"))
+    starts = lambda c: F.when(F.length(c) >= least, F.transform(F.sequence(F.lit(least), F.length(c)), lambda i: F.substring(c, F.lit(1), i)))
+    hit = lambda df, kind: df.select("group", "name", F.struct(F.lit(kind).alias("kind"), "key").alias("m"))
+    exact = hit(w.join(k.select("group", "key", F.col("key").alias("name")), ["group", "name"]), 0)
+    cased = hit(w.withColumn("low", F.lower("name")).join(k.select("group", "key", F.lower("key").alias("low")), ["group", "low"]), 1)
+    formed = hit(w.filter("form <> ''").join(k.select("group", "key", "form"), ["group", "form"]), 2)
+    long_names = w.select("group", "name", F.explode(starts(F.col("form"))).alias("form")).join(k.select("group", "key", "form"), ["group", "form"])
+    long_keys = w.filter(F.length("form") >= least).join(k.select("group", "key", F.explode(starts(F.col("form"))).alias("form")), ["group", "form"])
+    best = exact.union(cased).union(formed).union(hit(long_names, 3)).union(hit(long_keys, 3)).groupBy("group", "name").agg(F.min("m").alias("m"))
+    return wanted.join(best, ["group", "name"], "left").select("group", "name", "m.key", "m.kind")
