@@ -38,3 +38,44 @@ def with_deltas(runs: DataFrame, label: str, order: str, values: list[str]) -> D
     """A ledger of runs with the change of each value since the label's run before (null for its first)."""
     w = W.partitionBy(label).orderBy(order)
     return runs.select("*", *[(F.col(v) - F.lag(v).over(w)).alias(f"{v}_delta") for v in values])
+
+
+def board_documents(boards: DataFrame) -> DataFrame:
+    """stat and document (JSON of its entries by place) of ``profiles.leaderboards``: a board has a few entries."""
+    entry = F.struct("place", "canonical_id", "value", "formatted")
+    top = boards.groupBy("stat").agg(F.sort_array(F.collect_list(entry)).alias("top"))
+    return top.select("stat", F.to_json(F.struct("stat", "top")).alias("document"))
+
+
+def lines(rows: DataFrame) -> DataFrame:
+    """Rows as JSON objects, nulls written out, one a line."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def copy_lines(rows: DataFrame) -> DataFrame:
+    """Rows in the text form of bulk copies: fields parted by tabs, nulls as \\N, back slashes, tabs and line breaks escaped."""
+
+    def field(c: str) -> Column:
+        text = F.col(c).cast("string")
+        for sign, escaped in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+            text = F.replace(text, F.lit(sign), F.lit(escaped))
+        return F.coalesce(text, F.lit("\\N"))
+
+    return rows.select(F.concat_ws("\t", *[field(c) for c in rows.columns]).alias("value"))
+
+
+def from_copy_lines(text: DataFrame, schema: str) -> DataFrame:
+    """Rows of ``copy_lines`` (value) with the types of a schema; a field that doesn't fit is null."""
+    kinds = text.sparkSession.createDataFrame([], schema).schema
+    parts = text.select(F.split("value", "\t", -1).alias("f"))
+    # a mark that no field holds stands for an escaped back slash meanwhile
+    mark = "\u0000"
+
+    def field(i: int) -> Column:
+        raw = F.get("f", F.lit(i))
+        out = F.replace(raw, F.lit("\\\\"), F.lit(mark))
+        for sign, escaped in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"), ("\\", mark)):
+            out = F.replace(out, F.lit(escaped), F.lit(sign))
+        return F.when(raw != "\\N", out)
+
+    return parts.select(*[field(i).try_cast(k.dataType).alias(k.name) for i, k in enumerate(kinds)])
