@@ -38,6 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arenaflow.llm.common import arrow_rows, chunks, counted, hashed, text_or_empty, written
+from arenaflow.shared import forget
 
 RUN, SKETCHES, PICKED, SIMILARITY, SEED = 5, 80, 2, 0.8, 5
 #: Texts of at most FEW words have further sketches, over shorter runs.
@@ -542,14 +543,16 @@ def found_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     raw = F.xxhash64("text").alias("raw")  # tells the texts of one id apart
     marked = written(base.select("id", raw, F.pandas_udf(sketched, SKETCHED)("text").alias("s")).select("id", "raw", "s.*"), "sketches")
+    rows = written(marked.select("id", "digest"), "digests")
     known = marked.filter("digest is not null and id is not null")
     nodes = written(numbered(written(known.groupBy("digest").agg(F.min("id").alias("first")), "firsts")), "nodes")
     unique = known.join(nodes, "digest").filter("id = first").select(
         F.col("node").alias("id"), F.col("first").alias("doc"), "raw", "words", "profile", "sketches")
     unique = written(unique.dropDuplicates(["id"]), "unique")
+    forget(marked)  # the sketches of all rows; those of different texts are in unique
     shared = written(buckets(unique), "buckets")
     pairs = written(candidates(shared, unique), "pairs")
-    state = merged(unique.select("id", F.col("id").alias("root")), same_id(known, nodes))
+    state = merged(unique.select("id", F.col("id").alias("root")), same_id(rows.filter("digest is not null and id is not null"), nodes))
     state = settled(state, pairs, written(texts_of(base, ends_of(pairs), unique), "texts"), first=1)
     rest, links = remaining(shared, unique, state, pairs.select("a", "b"), base)
     rest = written(rest, "rest")
@@ -557,7 +560,7 @@ def found_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     of_node = nodes.join(state.select(F.col("id").alias("node"), "root"), "node")
     firsts = of_node.groupBy("root").agg(F.min("first").alias("class"))
     of_text = of_node.join(firsts, "root").select("digest", "class")
-    out = marked.select("id", "digest").join(of_text, "digest", "left")
+    out = rows.join(of_text, "digest", "left")
     class_id = F.when(F.col("id").isNotNull(), F.coalesce("class", "id"))
     return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.col("id").eqNullSafe(class_id).alias("is_first"))
 

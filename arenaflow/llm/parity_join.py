@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from arenaflow.llm.common import chunks, hashed, text_or_empty, written
 from arenaflow.llm.near_dedup import apart, ends_of, merged, mixed, numbered, same_id, texts_of
+from arenaflow.shared import forget
 
 RUN = 3
 #: Sets link if DIFFERENCE times the symmetric difference is at most the sum of their sizes (Jaccard 0.9).
@@ -273,10 +274,13 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     raw = F.xxhash64("text").alias("raw")  # tells the texts of one id apart
     marked = written(base.select("id", raw, F.pandas_udf(sketched, SKETCHED)("text").alias("s")).select("id", "raw", "s.*"), "sets")
+    rows = written(marked.select("id", "n", "digest"), "digests")
     known = marked.filter("digest is not null and id is not null")
     nodes = written(numbered(written(known.groupBy("digest").agg(F.min("id").alias("first")), "firsts")), "nodes")
     unique = known.join(nodes, "digest").filter("id = first").select(F.col("node").alias("id"), F.col("first").alias("doc"), "raw", "n", "sketch", "keys")
     unique = written(unique.dropDuplicates(["id"]), "unique")
+    forget(marked)  # the keys of all rows; those of different sets are in unique
+    known = rows.filter("digest is not null and id is not null")
     keys = unique.select("id", F.explode("keys").alias("key"))
     lows = keys.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("held")).filter("held > 1").select("key", "low")
     shared = written(keys.join(lows, "key").select("key", "id", "low"), "shared")
@@ -292,6 +296,6 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of_node = nodes.join(state.select(F.col("id").alias("node"), "root"), "node")
     firsts = of_node.groupBy("root").agg(F.min("first").alias("component"))
     of_set = of_node.join(firsts, "root").select("digest", "component")
-    rows = known.select("id", "n", "digest").join(of_set, "digest").select("id", "n", "component")
-    rest = marked.filter("digest is null or id is null").select("id", "n", F.col("id").alias("component"))
-    return rows.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    found = known.join(of_set, "digest").select("id", "n", "component")
+    rest = rows.filter("digest is null or id is null").select("id", "n", F.col("id").alias("component"))
+    return found.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
