@@ -52,3 +52,18 @@ def test_no_point_meets_all_centres(spark, monkeypatch):
     out = nn.nearest(points, centres, "id", ["x", "y"], "label")
     assert out.filter("label is not null").count() == 2000
     assert max(c.count() for c in candidates) < 40 * 2000
+
+
+def test_equal_points_are_one_and_far_ones_reach_few_leaves(spark, monkeypatch):
+    """What is written grows with the different points, also where they stand outside of the centres' box; every row gets its answer."""
+    rng = random.Random(4)
+    centres = [(900 + rng.random() * 1100, float(rng.randint(1, 50)), i) for i in range(5000)]
+    asked = [(900 + rng.random() * 100_000, float(rng.randint(1, 50))) for _ in range(100)]
+    points = [(k, *asked[k % 100]) for k in range(3000)]
+    near = []
+    keep = nn.written
+    monkeypatch.setattr(nn, "written", lambda df, name: near.append(keep(df, name)) or near[-1] if name == "near" else keep(df, name))
+    got = {r.id: (r.label, r.distance) for r in nn.nearest(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(centres, "x double, y double, label long"), "id", ["x", "y"], "label").collect()}
+    want = [min(((p - x) * (p - x) + (q - y) * (q - y), i) for x, y, i in centres) for p, q in asked]
+    assert all(got[k] == (want[k % 100][1], pytest.approx(math.sqrt(want[k % 100][0]), rel=1e-12)) for k in range(3000)) and len(got) == 3000
+    assert sum(n.count() for n in near) <= 10 * 100
