@@ -7,6 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def by_match(rows: DataFrame, match: str, each: int = 200_000) -> DataFrame:
+    """``rows`` dealt by match, in so many parts that one has about ``each`` rows, however large the input. What is then grouped or joined by keys that
+    hold the match needs no other shuffle."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
+    return rows.repartition(n, match)
+
+
 def unordered_pairs(rows: DataFrame, match: str, member: str, values: list[str]) -> DataFrame:
     """Pairs a < b of a match's members; ``rows`` must hold one row for each match and member (aggregate first). A match has few
     members, so the pairs of a match are bounded."""

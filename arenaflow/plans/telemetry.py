@@ -191,15 +191,15 @@ def ordered_roles(t: Tables):
 
 def duels(t: Tables):
     """Duels of suppliers within orders as input of the rating: outcome, margin, damage, time, homes and the customer's region as the server's."""
-    p = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("frags"), F.avg("l_extendedprice").alias("damage"))
-    pairs = joins.unordered_pairs(p, "l_orderkey", "l_suppkey", ["frags", "damage"])
-    o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("played_at"), F.col("o_orderstatus").alias("mode"), F.col("o_orderpriority").alias("arena"), "o_custkey")
+    lines = joins.by_match(t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice"), "l_orderkey")
+    p = lines.groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("frags"), F.avg("l_extendedprice").alias("damage"))
     region = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    home = t.supplier.join(region, F.col("s_nationkey") == F.col("n_nationkey"))
+    home = t.supplier.join(region, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("region"))
+    p = p.join(F.broadcast(home) if t.supplier.count() <= rating.MOST_SENT else home, "l_suppkey", "left")
     server = t.customer.join(region, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("r_name").alias("server_region"))
-    for side in "ab":
-        pairs = pairs.join(home.select(F.col("s_suppkey").alias(f"l_suppkey_{side}"), F.col("r_name").alias(f"region_{side}")), f"l_suppkey_{side}", "left")
-    return pairs.join(o, "l_orderkey").join(server, "o_custkey", "left").select(
+    o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("played_at"), F.col("o_orderstatus").alias("mode"), F.col("o_orderpriority").alias("arena"), "o_custkey")
+    pairs = joins.unordered_pairs(p, "l_orderkey", "l_suppkey", ["frags", "damage", "region"])
+    return pairs.join(o.join(server, "o_custkey", "left"), "l_orderkey").select(
         "mode", "arena", F.col("l_orderkey").alias("match_id"), "played_at", F.col("l_suppkey_a").alias("a"), F.col("l_suppkey_b").alias("b"), "frags_a", "frags_b",
         F.col("damage_a").alias("given_a"), F.col("damage_b").alias("taken_a"), F.col("damage_b").alias("given_b"), F.col("damage_a").alias("taken_b"),
         "region_a", "region_b", "server_region")
@@ -207,20 +207,20 @@ def duels(t: Tables):
 
 @query()
 def rating_fold(t: Tables):
-    """The order-dependent rating: components of players side by side where duels are sparse, modes where not; everything around it in parallel."""
-    return rating.snapshot(rating.fold(duels(t)))
+    """The order-dependent rating: components of players side by side, slices of time where duels are sparse; everything around it in parallel."""
+    return rating.snapshots(duels(t))
 
 
 @query()
 def rating_arenas(t: Tables):
     """Ratings by arena, with damage ratio, margins and opponents there."""
-    return rating.arena_ratings(rating.fold(duels(t)))
+    return rating.ratings_of_arenas(duels(t))
 
 
 @query()
 def rating_arena_history(t: Tables):
     """What each arena's rating was before and after every duel."""
-    return rating.arena_history(rating.fold(duels(t)))
+    return rating.history_of_arenas(duels(t))
 
 
 @query("""
