@@ -56,6 +56,8 @@ def cond_rank_provisional(t: Tables):
     """Provisional participants stay in the list without a place."""
     g = t.orders.groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("games"), F.stddev_pop("o_totalprice").alias("sd"), F.avg("o_totalprice").alias("mu"))
     g = g.withColumn("provisional", (F.col("sd") > 120000) | (F.col("games") < 10))
+    # sums of the same prices in another order must not part equal means, whose order is the key's
+    g = g.withColumn("mu", F.round("mu", 9))
     placed = windows.conditional_rank(g.withColumn("down", -F.col("mu")), "down", ["custkey"], F.col("provisional"))
     return placed.select("custkey", "games", "provisional", "place")
 
