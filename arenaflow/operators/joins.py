@@ -7,11 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def by_match(rows: DataFrame, match: str, each: int = 200_000) -> DataFrame:
-    """``rows`` dealt by match, in so many parts that one has about ``each`` rows, however large the input. What is then grouped or joined by keys that
-    hold the match needs no other shuffle."""
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
-    return rows.repartition(n, match)
+def parts(rows: DataFrame, each: int = 50_000) -> int:
+    """So many partitions that one has about ``each`` of ``rows``, however large the input, and no fewer than the session's."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
+
+
+def by_match(rows: DataFrame, match: str) -> DataFrame:
+    """``rows`` dealt by match in ``parts``. What is then grouped or joined by keys that hold the match needs no other shuffle."""
+    return rows.repartition(parts(rows), match)
 
 
 def unordered_pairs(rows: DataFrame, match: str, member: str, values: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arenaflow.functions import exprs as X
-from arenaflow.operators import aggs, ranks, windows
+from arenaflow.operators import aggs, joins, ranks, windows
 from arenaflow.plans.registry import Tables, query
 
 
@@ -135,10 +135,10 @@ FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey G
 """)
 def pair_self_join(t: Tables):
     """Pairs of participants of a match after one row for each was made."""
-    from arenaflow.operators.joins import unordered_pairs
-
-    p = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
-    j = unordered_pairs(p, "l_orderkey", "l_suppkey", ["q"])
+    p = joins.by_match(t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity"), "l_orderkey").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    j = joins.unordered_pairs(p, "l_orderkey", "l_suppkey", ["q"])
+    # dealt before they are counted: few pairs of a part repeat, and each task's table of pairs keeps its size
+    j = j.repartition(joins.parts(t.lineitem), "l_suppkey_a", "l_suppkey_b")
     return j.groupBy(F.col("l_suppkey_a").alias("a"), F.col("l_suppkey_b").alias("b")).agg(
         F.count("*").alias("meetings"), F.count_if(F.col("q_a") > F.col("q_b")).alias("wins_a"), F.count_if(F.col("q_a") < F.col("q_b")).alias("wins_b"),
         F.sum(F.col("q_a") - F.col("q_b")).alias("margin"),

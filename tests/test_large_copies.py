@@ -21,3 +21,12 @@ def test_equal_means_keep_the_order_of_the_keys(spark, tmp_path):
     table(tmp_path, "orders", [{"o_custkey": k, "o_totalprice": x} for k, own in ((1, prices), (2, prices[::-1])) for x in own])
     got = {r.custkey: r.place for r in catalog.QUERIES["cond_rank_provisional"](spark, str(tmp_path)).collect()}
     assert got == {1: 1, 2: 2}
+
+
+def test_parts_grow_with_the_rows(spark):
+    """Pairs are counted in so many parts that a part keeps its size: more rows, more parts, whatever the session's number."""
+    from arenaflow.operators import joins
+
+    few, many = spark.range(100), spark.range(750_000)
+    assert joins.parts(few) == int(spark.conf.get("spark.sql.shuffle.partitions")) and joins.parts(many) == 15
+    assert joins.by_match(many, "id").rdd.getNumPartitions() == 15
