@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arenaflow.functions import exprs as X
 from arenaflow.functions import names as N
-from arenaflow.operators import aggs
+from arenaflow.operators import aggs, joins
 from arenaflow.plans.registry import Tables, query
 
 
@@ -124,10 +124,12 @@ SELECT arena, a.s AS suppkey, count(*) AS games, count(DISTINCT b.s) AS opponent
 """)
 def opponents_on_map(t: Tables):
     """Record of every participant on each arena over all opponents: pairs of a match's members, which are few."""
-    f = t.lineitem.groupBy(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("suppkey")).agg(F.sum("l_quantity").alias("q"))
+    lines = joins.by_match(t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("suppkey"), "l_quantity"), "k")
+    f = lines.groupBy("k", "suppkey").agg(F.sum("l_quantity").alias("q"))
     arena = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey").groupBy(F.col("l_orderkey").alias("k")).agg(F.min("p_type").alias("arena"))
     pairs = f.join(f.select("k", F.col("suppkey").alias("other"), F.col("q").alias("p")), "k").filter("suppkey <> other").join(arena, "k")
-    return pairs.groupBy("arena", "suppkey").agg(F.count("*").alias("games"), F.countDistinct("other").alias("opponents"), F.count_if(F.col("q") > F.col("p")).alias("wins"), F.round(F.avg(F.col("q") - F.col("p")), 4).alias("margin"))
+    # dealt before they are counted, so that each task's table of opponents keeps its size
+    return pairs.repartition(joins.parts(t.lineitem), "arena", "suppkey").groupBy("arena", "suppkey").agg(F.count("*").alias("games"), F.countDistinct("other").alias("opponents"), F.count_if(F.col("q") > F.col("p")).alias("wins"), F.round(F.avg(F.col("q") - F.col("p")), 4).alias("margin"))
 
 
 @query("""
