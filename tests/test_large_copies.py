@@ -1,6 +1,7 @@
 """Queries on small tables that hold what copies of large ones do: equal values whose sums came in another order, many rows of a match's keys."""
 
 import random
+from functools import reduce
 
 import pandas as pd
 
@@ -14,9 +15,10 @@ def table(folder, name, rows):
 def test_equal_means_keep_the_order_of_the_keys(spark, tmp_path):
     """Two customers with the same prices, the second's in the order that gives the larger float sum."""
     rng = random.Random(1)
+    plain = lambda xs: reduce(lambda a, b: a + b, xs)  # sum() compensates
     while True:
         prices = [round(rng.random() * 1000, 2) for _ in range(12)]
-        if sum(prices) < sum(reversed(prices)):
+        if plain(prices) < plain(prices[::-1]):
             break
     table(tmp_path, "orders", [{"o_custkey": k, "o_totalprice": x} for k, own in ((1, prices), (2, prices[::-1])) for x in own])
     got = {r.custkey: r.place for r in catalog.QUERIES["cond_rank_provisional"](spark, str(tmp_path)).collect()}
