@@ -116,7 +116,8 @@ def movement_card(frames: DataFrame, keys: list[str], at: str, lags: tuple[int,
     f = f.withColumns(turns)
     return f.groupBy(*keys).agg(
         F.round(aggs.upper_median(F.when(F.col("speed") < 2500, F.col("speed")))).alias("speed_median"),
-        F.round(100 * F.try_divide(F.count_if(F.col("height") > 20), F.count("height")), 1).alias("airborne_pct"),
+        # the product comes first: 100 * (23 / 80) is less than 28.75
+        F.round(F.try_divide(100.0 * F.count_if(F.col("height") > 20), F.count("height")), 1).alias("airborne_pct"),
         *[F.round(aggs.corr_with_floor(f"heading_{k}", f"yaw_{k}", least), 3).alias(f"coupling_{k}") for k in lags],
     )
 

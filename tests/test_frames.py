@@ -92,6 +92,12 @@ def test_movement_card_couples_view_and_heading(spark):
     assert few.coupling_1 is None
 
 
+def test_airborne_shares_round_up_from_the_half(spark):
+    rows = [(k, i, 1.0, 0.0, 0.0, 30.0 if i < k else 0.0) for k in (23, 41, 51) for i in range(80)]
+    got = frames.movement_card(spark.createDataFrame(rows, "k int, at int, vx double, vy double, yaw double, height double"), ["k"], "at", lags=())
+    assert {r.k: r.airborne_pct for r in got.collect()} == {23: 28.8, 41: 51.3, 51: 63.8}
+
+
 def test_levers_by_priority(spark):
     m = spark.createDataFrame([(1, "x", 60.0, 40.0, 50.0), (1, "y", None, None, 9.0), (1, "z", None, None, None)], "k int, metric string, win double, loss double, overall double")
     marks = spark.createDataFrame([("x", 50.0, True), ("y", 10.0, False), ("z", 1.0, True)], "metric string, elite double, higher_better boolean")
