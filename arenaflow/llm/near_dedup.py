@@ -6,8 +6,8 @@ order (Order MinHash, sensitive to edit similarity). In texts of at most FEW wor
 get SHORT_SKETCHES more functions over runs of SHORT_RUN words.
 
 Different texts that share a sketch are compared with the smallest and the largest of the bucket first (a star, linear in the bucket's
-size). The candidate with which a text shares most sketches is verified first; the others only where the classes found so far don't
-connect them already. Every pair that shares a sketch and is still in different classes then has its turn, a text with a whole class at a
+size). The candidate with which a text shares most sketches is verified first; the others are made only of buckets, and for texts, that the
+classes found so far don't connect already. Every pair that shares a sketch and is still in different classes then has its turn, a text with a whole class at a
 time: directly where a bucket has at most OUTSIDERS members outside its largest class, else by a join that loses no similar pair and doesn't
 grow with the square of the bucket: texts within d edits share RARE of their d + RARE rarest words (each word labelled with its occurrence number, rarity
 being one order for all texts), so the texts of such buckets meet by those words, unless a signature of the words rules the similarity out. A
@@ -314,13 +314,38 @@ def profiled(pairs: DataFrame, unique: DataFrame) -> DataFrame:
 def candidates(shared: DataFrame, unique: DataFrame) -> DataFrame:
     """a, b, n: pairs of different texts that share n sketches with a bucket's smallest or largest id between them, without those
     whose lengths or profiles rule the similarity out. ``shared`` is of ``buckets``."""
-    centres = F.array(*[F.struct(F.col(c).alias("id"), F.col(f"{c}_words").alias("words")) for c in ("low", "high")])
-    shared = shared.select("id", "words", F.explode(centres).alias("centre")).filter(
+    return profiled(stars(shared), unique)
+
+
+def stars(shared: DataFrame) -> DataFrame:
+    """``candidates`` before the profiles; of ``still_open`` buckets, the pairs in different classes only."""
+    classed = "root" in shared.columns
+    fields = ["words", "root"] if classed else ["words"]
+    centres = F.array(*[F.struct(F.col(c).alias("id"), *[F.col(f"{c}_{f}").alias(f) for f in fields]) for c in ("low", "high")])
+    rows = shared.select("id", *fields, F.explode(centres).alias("centre")).filter(
         (F.col("id") != F.col("centre.id"))
         & (F.least("words", "centre.words") >= SIMILARITY * F.greatest("words", "centre.words") - 1e-9)
     )
+    if classed:
+        rows = rows.filter("root <> centre.root")
     a, b = F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")
-    return profiled(shared.select(a, b).groupBy("a", "b").agg(F.count("*").alias("n")), unique)
+    return rows.select(a, b).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def foremost(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of each b that which shares most sketches, ties to the smaller a."""
+    best = pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best"))
+    return best.select((-F.col("best.a")).alias("a"), "b", F.col("best.n").alias("n"))
+
+
+def still_open(shared: DataFrame, state: DataFrame) -> DataFrame:
+    """The buckets that hold several classes, with the root of each text and of the bucket's smallest and largest id. A bucket's sums tell that
+    before any pair of its texts is made."""
+    member = shared.join(state, "id")
+    several = member.groupBy("key").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.min_by("root", "id").alias("low_root"), F.max_by("root", "id").alias("high_root")
+    ).filter("least < most").drop("least", "most")
+    return member.join(several, "key")
 
 
 def class_sizes(member: DataFrame) -> DataFrame:
@@ -551,10 +576,14 @@ def found_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     unique = written(unique.dropDuplicates(["id"]), "unique")
     forget(marked)  # the sketches of all rows; those of different texts are in unique
     shared = written(buckets(unique), "buckets")
-    pairs = written(candidates(shared, unique), "pairs")
     state = merged(unique.select("id", F.col("id").alias("root")), same_id(rows.filter("digest is not null and id is not null"), nodes))
-    state = settled(state, pairs, written(texts_of(base, ends_of(pairs), unique), "texts"), first=1)
-    rest, links = remaining(shared, unique, state, pairs.select("a", "b"), base)
+    best = written(profiled(foremost(stars(shared)), unique), "best")
+    state = merged(state, written(verified(apart(best, state), written(texts_of(base, ends_of(best), unique), "texts")), "more"))
+    # in a group of near copies a text shares buckets with as many smallest and largest ids as it has sketches: most are in its class by now
+    tried = best.select("a", "b")
+    pairs = written(candidates(still_open(shared, state), unique).join(tried, ["a", "b"], "left_anti"), "pairs")
+    state = settled(state, pairs, written(texts_of(base, ends_of(pairs), unique), "texts"))
+    rest, links = remaining(shared, unique, state, tried.union(pairs.select("a", "b")), base)
     rest = written(rest, "rest")
     state = settled(state, rest, written(texts_of(base, ends_of(rest), unique), "texts"), links=links)
     of_node = nodes.join(state.select(F.col("id").alias("node"), "root"), "node")

@@ -221,3 +221,15 @@ def test_blocks_link_every_text_that_has_a_similar_member():
     assert set(zip(got["a"], got["b"])) <= similar
     assert sorted(got["a"]) == sorted({x for x, _ in similar}) and 0 < len(got) < 41
     assert len(nd.similar_members(left.head(0), right)) == len(nd.similar_members(left, right.head(0))) == 0
+
+
+def test_near_copies_make_few_pairs(spark, monkeypatch):
+    """A text of a group shares buckets with many smallest and largest ids; what one link has settled makes no pair."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(f"x{rng.randrange(900)}" if rng.random() < 0.04 else w for w in words)) for i in range(300)]
+    seen, plain = [], nd.profiled
+    monkeypatch.setattr(nd, "profiled", lambda pairs, unique: seen.append(pairs.count()) or plain(pairs, unique))
+    got = nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0} and len(got) == 300
+    assert sum(seen) <= 3 * 300
