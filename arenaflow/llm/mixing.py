@@ -5,8 +5,8 @@ vectors are dealt to TOPICS clusters by Lloyd's rounds, in each of which tasks s
 sums are whole numbers, so that topics don't depend on how rows are dealt out.
 
 Tokens are then summed to cells (source, language, topic). Raking multiplies the
-cells' weights by target/current for one margin after the other until all margins agree; each is one sum over the cells and one
-join. A document's inclusion probability is its cell's weight per token, scaled to the token budget and calibrated where it would
+cells' weights by target/current for one margin after the other until all margins agree; each is one window over the cells (of many: one
+sum and one join). A document's inclusion probability is its cell's weight per token, scaled to the token budget and calibrated where it would
 exceed 1; a hash of the id decides, so the sample is the same on every run and does not depend on partitions.
 
 Targets are shares of tokens. ``tempered`` makes them from the corpus: share ** power, scaled to 1. Given targets need not name every
@@ -23,10 +23,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arenaflow.llm.common import chunks, hashed, text_or_empty, written
+from arenaflow.llm.common import chunks, counted, hashed, text_or_empty, written
 
 MARGINS = ("source", "lang", "topic")
 #: Language targets of the production query; other languages share the rest.
@@ -34,6 +35,8 @@ LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.10}
 #: Source and topic shares are tempered by this power.
 POWER = 0.7
 ROUNDS, TOLERANCE = 30, 1e-6
+#: Cells up to which those of one margin value may meet in a task.
+FEW = 100_000
 #: Clusters, hashed word classes of a vector, Lloyd's rounds, and the whole number that stands for 1 in a vector.
 TOPICS, DIMS, LLOYD, UNIT = 8, 64, 6, 10_000
 
@@ -133,23 +136,33 @@ def given(cells: DataFrame, margin: str, shares: dict) -> DataFrame:
     return sums.select(margin, (F.coalesce(F.col("named"), free) / total).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` with column weight, whose sums by each margin follow the targets; stops when no factor is off by the tolerance."""
+def with_margin_sums(state: DataFrame, margin: str, few: bool) -> DataFrame:
+    """``state`` with the weight of each row's margin value in column now. Of ``few`` cells those of a value meet; else partial sums do and come
+    back by a join, whose result is written, as each later sum reads it twice."""
+    if few:
+        return state.withColumn("now", F.sum("weight").over(W.partitionBy(margin)))
+    sums = state.groupBy(margin).agg(F.sum("weight").alias("now"))
+    return written(state.join(sums, state[margin].eqNullSafe(sums[margin])).drop(sums[margin]), "cells")
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE, most: int = FEW) -> DataFrame:
+    """``cells`` with column weight, whose sums by each margin follow the targets; stops when no factor is off by the tolerance. Up to ``most``
+    cells a round is one pass of windows."""
     state = cells.withColumn("weight", F.col("tokens").cast("double"))
     for margin, t in targets.items():
         state = state.join(t.withColumnRenamed("target", f"to_{margin}"), state[margin].eqNullSafe(t[margin])).drop(t[margin])
-    state = written(state, "cells")
-    for _ in range(rounds):
+    state, n = counted(state, "cells", F.lit(True))
+    for _ in range(rounds if n else 0):
         for margin in targets:
-            sums = state.groupBy(margin).agg(F.sum("weight").alias("now"))
-            joined = state.join(sums, state[margin].eqNullSafe(sums[margin])).drop(sums[margin])
+            state = with_margin_sums(state, margin, n <= most)
             factor = F.when(F.col("now") > 0, F.col(f"to_{margin}") / F.col("now")).otherwise(0.0)
-            state = joined.withColumns({f"factor_{margin}": factor, "weight": F.col("weight") * factor}).drop("now")
-        state = written(state, "cells")
+            state = state.withColumn(f"factor_{margin}", factor).withColumn("weight", F.col("weight") * F.col(f"factor_{margin}")).drop("now")
         # after a whole round the last margin is met; the factors of the round tell how far the others were off
-        off = state.filter("weight > 0").agg(*[(F.max(f"factor_{m}") / F.min(f"factor_{m}") - 1).alias(m) for m in targets]).first()
+        seen, live = Observation(), lambda m: F.when(F.col("weight") > 0, F.col(f"factor_{m}"))
+        state = written(state.observe(seen, *[(F.max(live(m)) / F.min(live(m)) - 1).alias(m) for m in targets]), "cells")
+        off = seen.get
         state = state.drop(*[f"factor_{m}" for m in targets])
-        if max([x or 0.0 for x in off]) < tolerance:
+        if max([off[m] or 0.0 for m in targets]) < tolerance:
             break
     return state.drop(*[f"to_{m}" for m in targets])
 

@@ -115,3 +115,15 @@ def test_calibrated_probabilities_meet_the_budget(spark):
     cells = spark.createDataFrame([("a", "en", "x", 100, 0.8), ("b", "en", "x", 900, 0.1), ("c", "en", "x", 500, 0.1), ("d", "en", "x", 0, 0.0)], "source string, lang string, topic string, tokens long, weight double")
     p = {r.source: r.probability for r in mx.calibrated(cells, 700.0).collect()}
     assert p["a"] == 1 and p["d"] == 0 and np.isclose(100 * p["a"] + 900 * p["b"] + 500 * p["c"], 700) and np.isclose(900 * p["b"], 500 * p["c"])
+
+
+def test_a_round_reads_its_cells_once(spark, monkeypatch):
+    """With joins inside a round each margin's sums read all that came before anew; many cells give the same weights."""
+    cells = spark.createDataFrame([(f"s{i % 5}" if i % 5 else None, f"l{i % 3}", str(i % 4), 1 + i * i % 17) for i in range(60)], "source string, lang string, topic string, tokens long")
+    cells = mx.written(cells.groupBy(*mx.MARGINS).agg(mx.F.sum("tokens").alias("tokens")), "cells")
+    targets = {m: mx.tempered(cells, m, 0.5) for m in mx.MARGINS}
+    plans, write = [], mx.written
+    monkeypatch.setattr(mx, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    few, many = ({tuple(r[m] for m in mx.MARGINS): r.weight for r in mx.rake(cells, targets, most=n).collect()} for n in (1000, 0))
+    assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-9 for k in few)
+    assert plans and all(p.count("Relation [") <= 2 for p in plans) and any(p.count("Relation [") == 1 for p in plans)
