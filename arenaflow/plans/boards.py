@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arenaflow.functions import exprs as X
-from arenaflow.operators import ladder, profiles
+from arenaflow.operators import joins, ladder, profiles
 from arenaflow.plans.registry import Tables, query
 
 #: Each count of a player row: a sum over the lines, different for every column.
@@ -36,7 +36,9 @@ r AS (SELECT q.*, m.* EXCLUDE (match_id), CASE WHEN match_mode = '1on1' THEN CAS
 
 
 def players(t: Tables) -> DataFrame:
-    g = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(*[F.expr(e).alias(c) for c, e in COUNT.items()])
+    # dealt once by match, before the wide rows are made: they need no other shuffle until they leave the match, and all branches share this one
+    lines = joins.by_match(t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity", "l_linenumber"), "l_orderkey")
+    g = lines.groupBy("l_orderkey", "l_suppkey").agg(*[F.expr(e).alias(c) for c, e in COUNT.items()])
     who = F.col("l_suppkey")
     return g.select(
         F.col("l_orderkey").alias("match_id"), F.concat(F.lit("player "), who.cast("string")).alias("player_name"), F.when(who % 29 != 0, who).alias("canonical_id"),
