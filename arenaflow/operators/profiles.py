@@ -119,29 +119,25 @@ SLICES = {
 }
 
 
-def profiles(rows: DataFrame, slices: list[str] | None = None) -> DataFrame:
+def profiles(rows: DataFrame, slices: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """canonical_id, slice, member (the cut's values, comma-joined), the record, all AVERAGES, first and last match and the mean margin over opponents, for
-    every player and cut from one scan: one list of measures over grouping sets. Rows without a value of a cut's column don't belong to it."""
+    every player and cut from one scan. Rows without a value of a cut's column don't belong to it. Rows are dealt once by player (in ``parts``) and meet
+    their cuts there: most opponents and weeks have a row or two, whose sums would be wider than the rows and be shuffled for every cut."""
     slices = slices or list(SLICES)
     server = F.split_part(F.col("server_hostname"), F.lit(":"), F.lit(1))
     base = rows.filter("canonical_id is not null").withColumn("server", server).withColumn("week", X.iso_week("match_date")).withColumn("margin", F.col("player_frags") - F.col("opponent_frags"))
-    columns = sorted({c for s in slices for c in SLICES[s]})
-    own = F.col("canonical_id")
-    sets = [[own, *[F.col(c) for c in SLICES[s]]] for s in slices]
-    kind, member, real = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(True)
-    for s in slices:
-        # a set is known by the columns that it groups by
-        here = F.lit(True)
-        for c in columns:
-            here = here & (F.grouping(c) == (0 if c in SLICES[s] else 1))
-        kind = F.when(here, s).otherwise(kind)
-        member = F.when(here, F.concat_ws(",", *[F.col(c).cast("string") for c in SLICES[s]]) if SLICES[s] else F.lit("")).otherwise(member)
+    dealt = base.repartition(*([parts] if parts else []), "canonical_id")
+
+    def cut(s: str) -> Column:
+        real = F.lit(True)
         for c in SLICES[s]:
-            real = real & ~(here & F.col(c).isNull())
-    g = base.groupingSets(sets, own, *[F.col(c) for c in columns]) if columns else base.groupBy(own)
-    out = g.agg(
-        kind.alias("slice"), member.alias("member"), real.alias("__real"), *record(), *averages(), F.avg("margin").alias("avg_margin"), F.min("match_date").alias("first_match"), F.max("match_date").alias("last_match"))
-    return out.filter("__real").drop("__real", *columns)
+            real = real & F.col(c).isNotNull()
+        member = F.concat_ws(",", *[F.col(c).cast("string") for c in SLICES[s]]) if SLICES[s] else F.lit("")
+        return F.when(real, F.struct(F.lit(s).alias("slice"), member.alias("member")))
+
+    each = dealt.withColumn("__cut", F.explode(F.array_compact(F.array(*[cut(s) for s in slices]))))
+    each = each.withColumns({"slice": F.col("__cut.slice"), "member": F.col("__cut.member")})
+    return each.groupBy("canonical_id", "slice", "member").agg(*record(), *averages(), F.avg("margin").alias("avg_margin"), F.min("match_date").alias("first_match"), F.max("match_date").alias("last_match"))
 
 
 def profile_change(rows: DataFrame, now: datetime, days: int, slices: tuple[str, ...] = ("mode", "opponent"), against: str = "prior") -> DataFrame:

@@ -96,7 +96,7 @@ SLICED_SQL = lambda cuts, rows, measures: " UNION ALL ".join(f"SELECT canonical_
 def profile_slices(t: Tables):
     """The whole profile of every player: career, modes, maps, settings, servers, opponents and weeks with 31 averages, from one scan."""
     rows = profiles.outcomes(players(t), matches(t))
-    return rounded(profiles.profiles(rows), ["win_rate", *profiles.AVERAGES, "avg_margin"])
+    return rounded(profiles.profiles(rows, parts=joins.parts(t.lineitem)), ["win_rate", *profiles.AVERAGES, "avg_margin"])
 
 
 @query(f"""
