@@ -33,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -318,16 +318,18 @@ def candidates(shared: DataFrame, unique: DataFrame) -> DataFrame:
 
 
 def stars(shared: DataFrame) -> DataFrame:
-    """``candidates`` before the profiles; of ``still_open`` buckets, the pairs in different classes only."""
+    """``candidates`` before the profiles; of ``still_open`` buckets, the pairs in different classes only. Lengths and classes are looked at
+    before a row is made, so that a text whose class its bucket's smallest and largest id have makes none."""
     classed = "root" in shared.columns
     fields = ["words", "root"] if classed else ["words"]
     centres = F.array(*[F.struct(F.col(c).alias("id"), *[F.col(f"{c}_{f}").alias(f) for f in fields]) for c in ("low", "high")])
-    rows = shared.select("id", *fields, F.explode(centres).alias("centre")).filter(
-        (F.col("id") != F.col("centre.id"))
-        & (F.least("words", "centre.words") >= SIMILARITY * F.greatest("words", "centre.words") - 1e-9)
-    )
-    if classed:
-        rows = rows.filter("root <> centre.root")
+
+    def meets(centre: Column) -> Column:
+        alike = F.least("words", centre.words) >= SIMILARITY * F.greatest("words", centre.words) - 1e-9
+        other = (F.col("id") != centre.id) & alike
+        return other & (F.col("root") != centre.root) if classed else other
+
+    rows = shared.select("id", F.explode(F.filter(centres, meets)).alias("centre"))
     a, b = F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")
     return rows.select(a, b).groupBy("a", "b").agg(F.count("*").alias("n"))
 

@@ -233,3 +233,24 @@ def test_near_copies_make_few_pairs(spark, monkeypatch):
     got = nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.class_id for r in got} == {0} and len(got) == 300
     assert sum(seen) <= 3 * 300
+
+
+def rows_made(plan):
+    """The rows that the Generate nodes of an executed plan (not adaptive) have made."""
+    own = plan.metrics().apply("numOutputRows").value() if plan.nodeName() == "Generate" else 0
+    return own + sum(rows_made(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_texts_in_the_class_of_a_buckets_ends_make_no_rows(spark):
+    """A bucket is open for one stranger's sake: its pairs are made, and no row for the many that are in one class already."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for size in (100, 200):
+            texts = spark.createDataFrame([(i, 90, list(range(8))) for i in range(size)], "id long, words int, sketches array<long>")
+            state = spark.createDataFrame([(i, 50 if i == 50 else 0) for i in range(size)], "id long, root long")
+            pairs = nd.stars(nd.written(nd.still_open(nd.buckets(texts), state), "open"))
+            assert sorted((r.a, r.b, r.n) for r in pairs.collect()) == [(0, 50, 8), (50, size - 1, 8)]
+            assert rows_made(pairs._jdf.queryExecution().executedPlan()) == 2 * 8
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
