@@ -50,8 +50,6 @@ CLASSES, SMALL = 256, 1_000_000
 SHORT = 600
 #: Words whose hashes a batch of pairs keeps.
 KEPT = 1_000_000
-#: Rows, so texts or pairs of texts, that a Python worker gets at a time.
-AT_ONCE = 1000
 #: Texts and words in each side of a block of texts and members; pairs of a text that the first round of verifying takes.
 BLOCK, BLOCK_WORDS, FIRST_ROUND = 64, 100_000, 8
 #: Members outside its largest class up to which a bucket's classes meet directly (and members of a class that is joined row by row); words
@@ -311,14 +309,15 @@ def profiled(pairs: DataFrame, unique: DataFrame) -> DataFrame:
     return both.filter(F.pandas_udf(may_be_similar, "boolean")("left", "right")).select("a", "b", "n")
 
 
-def candidates(shared: DataFrame, unique: DataFrame) -> DataFrame:
-    """a, b, n: pairs of different texts that share n sketches with a bucket's smallest or largest id between them, without those
-    whose lengths or profiles rule the similarity out. ``shared`` is of ``buckets``."""
-    return profiled(stars(shared), unique)
+def candidates(shared: DataFrame, unique: DataFrame, tried: DataFrame) -> DataFrame:
+    """a, b, n: pairs of different texts that share n sketches with a bucket's smallest or largest id between them, without those of ``tried``
+    and those whose lengths or profiles rule the similarity out. ``shared`` is of ``buckets``."""
+    pairs = written(stars(shared), "met")  # or Spark would look for each of a pair's shared sketches among the tried, before they are one pair
+    return profiled(pairs.join(tried, ["a", "b"], "left_anti"), unique)
 
 
 def stars(shared: DataFrame) -> DataFrame:
-    """``candidates`` before the profiles; of ``still_open`` buckets, the pairs in different classes only. Lengths and classes are looked at
+    """``candidates`` before ``tried`` and the profiles; of ``still_open`` buckets, the pairs in different classes only. Lengths and classes are looked at
     before a row is made, so that a text whose class its bucket's smallest and largest id have makes none."""
     classed = "root" in shared.columns
     fields = ["words", "root"] if classed else ["words"]
@@ -351,24 +350,28 @@ def still_open(shared: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def class_sizes(member: DataFrame) -> DataFrame:
-    """key, major (its largest class), members and outsiders (those of other classes)."""
-    return member.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("outsiders")
-    )
+    """key, major (its largest class), members, outsiders (those of other classes) and weight. The keys of a passage that the same texts hold
+    say the same: one of all keys with the same texts (told by two hashes of their ids) stays, their number is its weight."""
+    marks = ["mark0", "mark1"]
+    by_class = member.groupBy("key", "root").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("id", F.lit(m))).alias(m) for m in marks])
+    by_key = by_class.groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("outsiders"),
+        *[F.bit_xor(m).alias(m) for m in marks])
+    return by_key.groupBy("major", "members", "outsiders", *marks).agg(F.min("key").alias("key"), F.count("*").alias("weight")).drop(*marks)
 
 
 def sized(member: DataFrame) -> DataFrame:
-    """``member`` with its key's major and outsiders."""
-    return member.join(class_sizes(member).select("key", "major", "outsiders"), "key")
+    """``member`` with its key's major, outsiders and weight, without the keys that another stands for."""
+    return member.join(class_sizes(member).select("key", "major", "outsiders", "weight"), "key")
 
 
 def touched(member: DataFrame, least: int = 1, signs: list[str] = ()) -> DataFrame:
-    """x, root: texts and the other classes with texts that share ``least`` keys with them and may be as long. ``member`` is id, words, root, key, major
+    """x, root: texts and the other classes with texts that share ``least`` keys with them and may be as long. ``member`` is of ``sized``
     (and ``signs``, columns of ``signature``: a class lacking more of a text's words than edits are allowed isn't asked); of a key the texts of
     its largest class ask for no other, and of two smaller classes one asks for the other."""
     own = [F.col(s).alias(f"x_{s}") for s in signs]
     outside = member.filter("root <> major").select(
-        "key", "major", F.col("id").alias("x"), F.col("words").alias("n"), F.col("root").alias("x_root"), *own)
+        "key", "major", "weight", F.col("id").alias("x"), F.col("words").alias("n"), F.col("root").alias("x_root"), *own)
     there = member.groupBy("key", "root").agg(F.min("words").alias("shortest"), F.max("words").alias("longest"), *[F.bit_or(s).alias(s) for s in signs])
     fits = (
         (F.col("x_root") != F.col("root")) & ((F.col("root") == F.col("major")) | (F.col("x_root") < F.col("root")))
@@ -378,7 +381,7 @@ def touched(member: DataFrame, least: int = 1, signs: list[str] = ()) -> DataFra
         longer = F.least(F.greatest("n", "longest"), F.col("n") / SIMILARITY)
         lacking = sum(F.bit_count(F.col(f"x_{s}").bitwiseAND(F.bitwise_not(s))) for s in signs)
         fits &= lacking <= F.floor((1 - SIMILARITY) * longer + 1e-9)
-    return outside.join(there, "key").filter(fits).groupBy("x", "root").agg(F.count("*").alias("keys")).filter(F.col("keys") >= least).select("x", "root")
+    return outside.join(there, "key").filter(fits).groupBy("x", "root").agg(F.sum("weight").alias("keys")).filter(F.col("keys") >= least).select("x", "root")
 
 
 def counted_words(texts: pd.Series) -> list[tuple]:
@@ -492,7 +495,8 @@ def remaining(shared: DataFrame, unique: DataFrame, state: DataFrame, tried: Dat
     asked = touched(few)
     if many.limit(1).count():
         crowded = written(many.select("id", "words", "root").distinct(), "crowded")
-        rare = by_rare_words(texts_of(base, crowded.select("id"), unique))
+        # written, as its words are counted and then chosen from, and tasks get about as many bytes of it each
+        rare = by_rare_words(written(texts_of(base, crowded.select("id"), unique), "crowded_texts"))
         member = written(rare.join(crowded, "id").select("id", "words", "root", "key", *signs()), "rare")
         asked = asked.union(touched(written(sized(member).filter("outsiders > 0"), "rare_sized"), RARE, signs())).distinct()
     pairs, links = with_members(written(asked, "asked"), state, unique, base)
@@ -561,7 +565,7 @@ def numbered(firsts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id (smallest id of the class) and is_first (the row's id is the class's) of every row. Classes are found among different
     texts; copies take part by their digest at the end, so that their number makes no links."""
-    with arrow_rows(docs.sparkSession, AT_ONCE):
+    with arrow_rows(docs.sparkSession):
         return found_classes(docs, id_col, text_col)
 
 
@@ -583,7 +587,7 @@ def found_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     state = merged(state, written(verified(apart(best, state), written(texts_of(base, ends_of(best), unique), "texts")), "more"))
     # in a group of near copies a text shares buckets with as many smallest and largest ids as it has sketches: most are in its class by now
     tried = best.select("a", "b")
-    pairs = written(candidates(still_open(shared, state), unique).join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = written(candidates(still_open(shared, state), unique, tried), "pairs")
     state = settled(state, pairs, written(texts_of(base, ends_of(pairs), unique), "texts"))
     rest, links = remaining(shared, unique, state, tried.union(pairs.select("a", "b")), base)
     rest = written(rest, "rest")

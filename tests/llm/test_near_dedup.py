@@ -254,3 +254,35 @@ def test_texts_in_the_class_of_a_buckets_ends_make_no_rows(spark):
             assert rows_made(pairs._jdf.queryExecution().executedPlan()) == 2 * 8
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def joined_anti(plan):
+    """The rows that the left anti joins of an executed plan (not adaptive) have let through."""
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() and "LeftAnti" in plan.simpleString(99) else 0
+    return own + sum(joined_anti(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_a_pair_is_looked_for_among_the_tried_once(spark):
+    """However many sketches it shares."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        alike = nd.profile(np.arange(90, dtype=np.uint64))
+        texts = spark.createDataFrame([(i, 90, alike, list(range(8))) for i in range(100)], "id long, words int, profile binary, sketches array<long>")
+        state = spark.createDataFrame([(i, i if 50 <= i < 60 else 0) for i in range(100)], "id long, root long")
+        shared = nd.written(nd.still_open(nd.buckets(texts), state), "open")
+        pairs = nd.candidates(shared, texts, spark.createDataFrame([(0, 50)], "a long, b long"))
+        want = [(0, i, 8) for i in range(51, 60)] + [(i, 99, 8) for i in range(50, 60)]
+        assert sorted((r.a, r.b, r.n) for r in pairs.collect()) == want
+        assert joined_anti(pairs._jdf.queryExecution().executedPlan()) == len(want)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_keys_of_the_same_texts_count_as_one_with_their_number(spark):
+    rows = [(i, 60, i, key) for key in range(40) for i in range(5)] + [(i, 60, i, 99) for i in (1, 2)]
+    member = nd.sized(spark.createDataFrame(rows, "id long, words int, root long, key long"))
+    assert sorted((r.id, r.key, r.weight) for r in member.collect()) == [(0, 0, 40), (1, 0, 40), (1, 99, 1), (2, 0, 40), (2, 99, 1), (3, 0, 40), (4, 0, 40)]
+    asked = lambda least: {(r.x, r.root) for r in nd.touched(member, least).collect()}
+    assert {frozenset(p) for p in asked(40)} == {frozenset((i, j)) for i in range(5) for j in range(i)}
+    assert {frozenset(p) for p in asked(41)} == {frozenset((1, 2))}
