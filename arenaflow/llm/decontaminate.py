@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arenaflow.llm.common import chunks, hashed, written
+from arenaflow.llm.common import arrow_rows, chunks, hashed, written
 
 WORD = re.compile(r"\w+")
 #: Fixed parameters of the search: walks, keys of each walk, sampled places of each key. See tests/llm for the recall they give.
@@ -229,7 +229,8 @@ def matches_of(texts: DataFrame, benchmark: DataFrame, similarity: float, block_
     """key, item, distance, item_words, end_word of every row of key (string) and text with an item in it."""
     own, out = texts.filter("text is not null"), None
     for rows in item_blocks(benchmark, block_chars):
-        found = written(own.mapInPandas(searcher(Items(rows, similarity)), RESULT), "leaks")
+        with arrow_rows(texts.sparkSession):
+            found = written(own.mapInPandas(searcher(Items(rows, similarity)), RESULT), "leaks")
         out = found if out is None else out.unionByName(found)
     return texts.sparkSession.createDataFrame([], RESULT) if out is None else out
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arenaflow.llm.common import text_or_empty, written
+from arenaflow.llm.common import arrow_rows, text_or_empty, written
 
 #: Names of the statistics, in order.
 STATISTICS = (
@@ -168,7 +168,8 @@ def fit(learn: DataFrame, calibrate: DataFrame) -> Model:
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
     """id, held_out, score and predicted of every row; ``labels`` has the id and quality (0 or 1)."""
     fold = F.crc32(F.col(id_col).cast("string")) % folds
-    stats = written(docs.select(F.col(id_col), F.pandas_udf(statistics_of, "array<double>")(text_or_empty(text_col)).alias("stats")), "stats")
+    with arrow_rows(docs.sparkSession):
+        stats = written(docs.select(F.col(id_col), F.pandas_udf(statistics_of, "array<double>")(text_or_empty(text_col)).alias("stats")), "stats")
     known = labels.select(F.col(id_col), F.col("quality").cast("double").alias("quality")).filter(F.col("quality").isin(0.0, 1.0))
     marked = written(stats.filter(fold != 0).join(known, id_col).select("stats", "quality", fold.alias("fold")), "marked")
     model = fit(marked.filter(F.col("fold") < folds - 1), marked.filter(F.col("fold") == folds - 1))

@@ -56,3 +56,24 @@ def test_stages_take_odd_rows(spark, tmp_path):
             out = stage(spark, d, SF)
             assert out.columns == docs.columns and out.count() <= d.count()
     assert cp.STAGES[-1][1](spark, docs, SF).count() >= 0
+
+
+def test_python_gets_few_whole_texts_at_a_time(spark, monkeypatch):
+    """What reads texts in Python is written with small batches, so that workers (which keep their memory) stay small."""
+    from arenaflow.llm import decontaminate, mixing, quality
+
+    seen = {}
+
+    def noted(df, name, write=quality.written):
+        seen[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return write(df, name)
+
+    for module in (quality, mixing, decontaminate):
+        monkeypatch.setattr(module, "written", noted)
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(20)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    quality.score_quality(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    mixing.with_topics(docs)
+    decontaminate.find_leaks(docs, spark.createDataFrame([(1, "words of some benchmark item in full")], "item_id long, text string"))
+    assert {seen[n] for n in ("stats", "vectors", "leaks")} == {1000}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
