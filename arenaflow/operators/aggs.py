@@ -18,6 +18,16 @@ def exact_median(x) -> Column:
     return F.percentile(x, 0.5)
 
 
+def exact_mean(x: str) -> Column:
+    """The mean of a numeric column, the same in whatever order the rows are added: six decimals and what is left of them are summed as decimals; only what fits
+    into none (infinite, above 1e22) is summed as it comes."""
+    value = F.col(x).cast("double")
+    main = value.try_cast("decimal(28,6)")
+    left = value - main.cast("double")
+    total = lambda c: F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
+    return F.try_divide(total(main) + total(left.cast("decimal(38,30)")) + total(F.when(main.isNull(), value)), F.count(x))
+
+
 def corr_with_floor(x, y, least: int) -> Column:
     """Pearson correlation, null for small groups and for a constant side."""
     return F.when(F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()) >= least, F.nanvl(F.corr(x, y), F.lit(None).cast("double")))

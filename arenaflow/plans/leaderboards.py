@@ -54,10 +54,8 @@ SELECT custkey, games, provisional, CASE WHEN NOT provisional THEN CAST(sum(CASE
 """)
 def cond_rank_provisional(t: Tables):
     """Provisional participants stay in the list without a place."""
-    g = t.orders.groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("games"), F.stddev_pop("o_totalprice").alias("sd"), F.avg("o_totalprice").alias("mu"))
+    g = t.orders.groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("games"), F.stddev_pop("o_totalprice").alias("sd"), aggs.exact_mean("o_totalprice").alias("mu"))
     g = g.withColumn("provisional", (F.col("sd") > 120000) | (F.col("games") < 10))
-    # sums of the same prices in another order must not part equal means, whose order is the key's
-    g = g.withColumn("mu", F.round("mu", 9))
     placed = windows.conditional_rank(g.withColumn("down", -F.col("mu")), "down", ["custkey"], F.col("provisional"))
     return placed.select("custkey", "games", "provisional", "place")
 
@@ -81,7 +79,7 @@ SELECT share, round(mu, 4) AS cutoff FROM o, n, (VALUES (0.95::DOUBLE), (0.8::DO
 """)
 def tier_cutoffs(t: Tables):
     """Population cut-offs at the places int(p * n)."""
-    s = t.orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mu"))
+    s = t.orders.groupBy("o_custkey").agg(aggs.exact_mean("o_totalprice").alias("mu"))
     return aggs.cutoffs(s, "mu", X.TIER_SHARES).select("share", F.round("cutoff", 4).alias("cutoff"))
 
 
@@ -93,7 +91,7 @@ SELECT 1 + (SELECT count(*) FROM k WHERE k.cutoff > s.mu) AS tier, count(*) AS n
 """)
 def tier_hist(t: Tables):
     """How many fall into each tier."""
-    s = t.orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mu"))
+    s = t.orders.groupBy("o_custkey").agg(aggs.exact_mean("o_totalprice").alias("mu"))
     k = aggs.cutoffs(s, "mu", X.TIER_SHARES).agg(F.array_sort(F.collect_list("cutoff")).alias("cuts"))
     above = F.size(F.filter("cuts", lambda x: x > F.col("mu")))
     return s.join(F.broadcast(k)).groupBy((above + 1).cast("long").alias("tier")).agg(F.count("*").alias("n"))  # one row

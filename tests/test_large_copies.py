@@ -1,6 +1,7 @@
 """Queries on small tables that hold what copies of large ones do: equal values whose sums came in another order, many rows of a match's keys."""
 
 import random
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 import pandas as pd
@@ -25,6 +26,32 @@ def test_equal_means_keep_the_order_of_the_keys(spark, tmp_path):
     assert got == {1: 1, 2: 2}
 
 
+def test_equal_means_are_equal_to_the_last_bit(spark, tmp_path):
+    """Prices whose float sums in two orders part even after rounding to nine places: their customers keep the order of the keys and share a tier."""
+    rng = random.Random(2)
+    rounded = lambda xs: Decimal(repr(reduce(lambda a, b: a + b, xs) / len(xs))).quantize(Decimal("1e-9"), ROUND_HALF_UP)
+    while True:
+        prices = [round(100_000 + rng.random() * 200_000, 2) for _ in range(13)]
+        if rounded(prices) < rounded(prices[::-1]):
+            break
+    low, high = [90_000.0] * 13, [310_000.0] * 13
+    owners = [*enumerate([prices, prices[::-1], *[low] * 4, *[high] * 4], 1)]
+    table(tmp_path, "orders", [{"o_custkey": k, "o_totalprice": x} for k, own in owners for x in own])
+    got = {r.custkey: r.place for r in catalog.QUERIES["cond_rank_provisional"](spark, str(tmp_path)).collect()}
+    assert (got[1], got[2]) == (5, 6)
+    assert {r.tier: r.n for r in catalog.QUERIES["tier_hist"](spark, str(tmp_path)).collect()} == {1: 4, 3: 2, 4: 4}
+
+
+def test_exact_mean_of_odd_values(spark):
+    """Long fractions, large, infinite and missing values."""
+    from arenaflow.operators import aggs
+
+    groups = {"a": [1 / 3, 2 / 3, 1e15], "b": [1e15, 2 / 3, 1 / 3], "c": [1e300, 1.0], "d": [float("inf"), 1.0], "e": [None], "f": [None, 1e-9, 3e-9]}
+    rows = spark.createDataFrame([(g, x) for g, own in groups.items() for x in own], "g string, x double")
+    got = {r.g: r.m for r in rows.groupBy("g").agg(aggs.exact_mean("x").alias("m")).collect()}
+    assert got == {"a": got["b"], "b": got["b"], "c": 5e299, "d": float("inf"), "e": None, "f": 2e-9} and abs(got["b"] - 1e15 / 3) < 1
+
+
 def test_parts_grow_with_the_rows(spark):
     """Pairs are counted in so many parts that a part keeps its size: more rows, more parts, whatever the session's number."""
     from arenaflow.operators import joins
