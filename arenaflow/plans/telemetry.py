@@ -189,8 +189,8 @@ def ordered_roles(t: Tables):
     return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s["role"]), ">").alias("shape"), F.count("*").alias("n"))
 
 
-def duels(t: Tables):
-    """Duels of suppliers within orders as input of the rating: outcome, margin, damage, time, homes and the customer's region as the server's."""
+def sides(t: Tables):
+    """Suppliers of orders, one row each: frags, damage and home; and the orders as matches, the customer's region as the server's."""
     lines = joins.by_match(t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice"), "l_orderkey")
     p = lines.groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("frags"), F.avg("l_extendedprice").alias("damage"))
     region = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
@@ -198,29 +198,42 @@ def duels(t: Tables):
     p = p.join(F.broadcast(home) if t.supplier.count() <= rating.MOST_SENT else home, "l_suppkey", "left")
     server = t.customer.join(region, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("r_name").alias("server_region"))
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("played_at"), F.col("o_orderstatus").alias("mode"), F.col("o_orderpriority").alias("arena"), "o_custkey")
+    return p, o.join(server, "o_custkey", "left")
+
+
+def duels(t: Tables):
+    """Duels of suppliers within orders as input of the rating: outcome, margin, damage, time, homes and the server's region."""
+    p, orders = sides(t)
     pairs = joins.unordered_pairs(p, "l_orderkey", "l_suppkey", ["frags", "damage", "region"])
-    return pairs.join(o.join(server, "o_custkey", "left"), "l_orderkey").select(
+    return pairs.join(orders, "l_orderkey").select(
         "mode", "arena", F.col("l_orderkey").alias("match_id"), "played_at", F.col("l_suppkey_a").alias("a"), F.col("l_suppkey_b").alias("b"), "frags_a", "frags_b",
         F.col("damage_a").alias("given_a"), F.col("damage_b").alias("taken_a"), F.col("damage_b").alias("given_b"), F.col("damage_a").alias("taken_b"),
         "region_a", "region_b", "server_region")
 
 
+def matches(t: Tables):
+    """The same duels as a row an order, with its suppliers in an array (an order has few)."""
+    p, orders = sides(t)
+    own = p.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_suppkey").alias("player"), "frags", "damage", "region")).alias("sides"))
+    return own.join(orders, "l_orderkey").select("mode", "arena", F.col("l_orderkey").alias("match_id"), "played_at", "server_region", "sides")
+
+
 @query()
 def rating_fold(t: Tables):
     """The order-dependent rating: components of players side by side, slices of time where duels are sparse; everything around it in parallel."""
-    return rating.snapshots(duels(t))
+    return rating.snapshots(duels(t), matches(t))
 
 
 @query()
 def rating_arenas(t: Tables):
     """Ratings by arena, with damage ratio, margins and opponents there."""
-    return rating.ratings_of_arenas(duels(t))
+    return rating.ratings_of_arenas(duels(t), of_matches=matches(t))
 
 
 @query()
 def rating_arena_history(t: Tables):
     """What each arena's rating was before and after every duel."""
-    return rating.history_of_arenas(duels(t))
+    return rating.history_of_arenas(duels(t), of_matches=matches(t))
 
 
 @query("""
